@@ -147,12 +147,12 @@ placed as (select *, (ev // 3600000000) * 3600000000 as h from timed where ev is
 ORACLES = {
     "p1_found": _components_sql() + " select delivery_id from ranked where r > 1",
     "p1_kept": _components_sql() + " select delivery_id, batch_id, subscription, received_at from coordinator_deliveries where delivery_id in (select delivery_id from ranked where r = 1)",
-    "p2_long": f"""with e as (select id, min(row(ingested_at, {_USER.format(c="data.user_id")}, data.event_type, event_time, score)) as r, any_value(data.user_id) as u, any_value(data.event_type) as t, any_value(event_time) as at, any_value(score) as score from user_actions group by id),
-      ev as (select {_USER.format(c="u")} as user_id, replace(lower(regexp_replace(trim(t), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '-', '_') as kind, at, score from e),
-      q as (select request_no, any_value(action_name) as action_name, any_value(request_timestamp) as at, any_value(action_data_json) as j from action_requests group by request_no),
-      rq as (select {_USER.format(c="regexp_extract(j, '(?i)\"(?:user_?id|uid)\"[ ]*:[ ]*\"([^\"]*)\"', 1)")} as user_id, action_name as kind, at from q where json_valid(j))
-      select user_id, kind, count(*) as n, max(at) as latest, coalesce(sum(score::decimal(28,6)), 0)::double as total, 'event' as part from ev where user_id is not null and nullif(kind, '') is not null group by 1, 2
-      union all select user_id, kind, count(*), max(at), 0.0::double, 'action' from rq where user_id is not null and kind is not null group by 1, 2""",
+    "p2_long": f"""with e as (select id, any_value(data.user_id) as u, any_value(data.event_type) as t, any_value(event_time) as ts, any_value(score) as score from user_actions group by id),
+      ev as (select {_USER.format(c="u")} as user_id, replace(lower(regexp_replace(trim(t), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '-', '_') as kind, ts, score from e),
+      q as (select request_no, any_value(action_name) as action_name, any_value(request_timestamp) as ts, any_value(action_data_json) as j from action_requests group by request_no),
+      rq as (select {_USER.format(c="regexp_extract(j, '(?i)\"(?:user_?id|uid)\"[ ]*:[ ]*\"([^\"]*)\"', 1)")} as user_id, action_name as kind, ts from q where json_valid(j))
+      select user_id, kind, count(*) as n, max(ts) as latest, coalesce(sum(score::decimal(28,6)), 0)::double as total, 'event' as part from ev where user_id is not null and nullif(kind, '') is not null group by 1, 2
+      union all select user_id, kind, count(*), max(ts), 0.0::double, 'action' from rq where user_id is not null and kind is not null group by 1, 2""",
     "p4_found": f"""with e as (select {_USER.format(c="template.data.data.user_id")} as user_id, trim(template.send_time) as s from kafka_messages),
       t as (select user_id, {_TIME} as us from e), k as (select * from t where user_id is not null and us is not null),
       g as (select *, case when us - lag(us) over (partition by user_id order by us) <= 1800000000 then 0 else 1 end as o from k),
