@@ -54,3 +54,12 @@ def ntz_us(c: Column) -> Column:
 def us_ntz(c: Column) -> Column:
     """TIMESTAMP_NTZ in UTC of microseconds since 1970."""
     return F.timestamp_add("MICROSECOND", c, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def readable_object(c: Column) -> Column:
+    """True where the text is one whole JSON object. Spark's own parser lets text behind the object pass, so brackets outside strings must also balance."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"\\\\.", ""), r'"[^"]*"', "")
+    left = F.length(F.regexp_replace(bare, r"[^{\[]", ""))
+    right = F.length(F.regexp_replace(bare, r"[^}\]]", ""))
+    whole = F.btrim(bare, F.lit(BLANKS))
+    return F.coalesce(F.call_function("try_parse_json", c).isNotNull() & whole.startswith("{") & whole.endswith("}") & (left == right) & ~bare.rlike(r"[}\]]\s*[{\[]"), F.lit(False))

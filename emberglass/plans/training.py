@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ntz_us, send_time_us, type_key, us_ntz, user_key
+from ..functions.text import ntz_us, readable_object, send_time_us, type_key, us_ntz, user_key
 from ..operators import dedup, drift, features, lateness, sessions
 from ..runtime import table
 
@@ -37,7 +37,7 @@ def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(entity, kind, at)`` of action_requests, each request once, the user taken from readable JSON."""
     t = table(spark, sf_dir, "action_requests").where("request_no is not null")
     once = t.groupBy("request_no").agg(F.min(F.struct(F.col("received_at").isNull().alias("late"), "received_at", "action_name", "request_timestamp", "action_data_json")).alias("r"))
-    readable = F.expr("try_parse_json(r.action_data_json)").isNotNull()
+    readable = readable_object(F.col("r.action_data_json"))
     user = F.when(readable, F.regexp_extract("r.action_data_json", USER_IN_JSON, 1))
     return once.select(user_key(user).alias("entity"), F.nullif(F.btrim("r.action_name"), F.lit("")).alias("kind"), F.col("r.request_timestamp").alias("at"))
 
