@@ -3,9 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import mixing, repetition, tokens
+from . import mixing, pii, repetition, tokens
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, text, client_source)`` of user_actions."""
+    return table(spark, sf_dir, "user_actions").select("id", F.col("data.message").alias("text"), "client_source")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.mentions(messages(spark, sf_dir), table(spark, sf_dir, "known_names"))
+    return found.select("id", "pii_type", "span_start").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(messages(spark, sf_dir), table(spark, sf_dir, "known_names"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +43,5 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 ORACLES: dict[str, str] = {}
