@@ -275,15 +275,20 @@ class Names:
             return 0.6 if word[0].isupper() else 0.5
         return 0.0 if len(word) < 4 or not word.isalpha() else 0.3 if word[0].isupper() else 0.2
 
-    def find(self, t: str) -> Iterator[Span]:
+    def find(self, t: str, low: str) -> Iterator[Span]:
         words = list(_NAME_WORD.finditer(t))
         both = [self.weights(m[0]) for m in words]
         g, f = [b[0] for b in both], [b[1] for b in both]
+        strong = [max(b) >= 0.5 for b in both]
+        weak = any(w in low for w in _BEHIND)  # without a word behind it no weak pair can pass
+        if not weak and not any(strong):
+            return
+        strong.append(False)
         i = 0
         while i < len(words):
             best: tuple[float, int, int, int] | None = None  # score, start, end, words
             m = words[i]
-            if max(g[i], f[i]) == 0:
+            if g[i] + f[i] == 0 or not (weak or strong[i] or strong[i + 1]):
                 i += 1
                 continue
             start = m.start()
@@ -336,7 +341,7 @@ def find_in(text: str | None, names: Names) -> list[Span]:
         if digits >= 5 and any(w in low for w in _LABEL_WORDS):
             spans += _identities(t, low)
     spans += _phones(t, low, digits)
-    spans += names.find(t)
+    spans += names.find(t, low)
     taken: list[Span] = []
     for s in sorted((s for s in spans if s.score >= ACCEPT), key=lambda s: (_ORDER.index(s.kind), -s.score, s.start)):
         if all(s.end <= o.start or s.start >= o.end for o in taken):
