@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import mixing, pii, repetition, tokens
+from . import abuse, mixing, pii, repetition, tokens
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,18 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(messages(spark, sf_dir), table(spark, sf_dir, "known_names"))
 
 
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(messages(spark, sf_dir), *(table(spark, sf_dir, t) for t in ("message_labels", "abuse_terms", "group_names")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(p7_scores(spark, sf_dir))
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(p7_scores(spark, sf_dir), messages(spark, sf_dir).select("id", "client_source"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -43,5 +55,5 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
 ORACLES: dict[str, str] = {}
