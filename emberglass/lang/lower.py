@@ -242,6 +242,24 @@ class Lowering:
             self.stages.append({})
         self.stages[stage][name] = col
 
+    def sequence(self) -> list[str]:
+        """Files in the order they are brought in: imports, the file itself, then what it requires."""
+        out: list[str] = []
+
+        def visit(p: str) -> None:
+            if p in out:
+                return
+            for q in self.files[p].imports:
+                visit(q)
+            if p not in out:
+                out.append(p)
+            for call in self.files[p].requires:
+                for q in self.required(p, call):
+                    visit(q)
+
+        visit("main.sml")
+        return out
+
     def run(self) -> Lowered:
         by = self.reach()
         features = []
@@ -252,7 +270,7 @@ class Lowering:
                 self.active[p] = None
                 todo += self.files[p].imports
                 todo += [q for call in self.files[p].requires if {k.arg for k in call.keywords} == {"rule"} and isinstance(call.keywords[0].value, ast.Constant) for q in self.required(p, call)]
-        for p in [q for q in self.order if q in by]:
+        for p in self.sequence():
             active = self.activity(p, by)
             for n in self.files[p].assigns:
                 f = self.feature(p, n, active)

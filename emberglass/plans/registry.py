@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import training
+from . import rules, training
 
-QUERIES = {**training.QUERIES}
-ORACLES = {**training.ORACLES}
-FLAGSHIP = "p4_found"
+QUERIES = {**rules.QUERIES, **training.QUERIES}
+ORACLES = {**rules.ORACLES, **training.ORACLES}
+FLAGSHIP = "q_rules"
