@@ -58,7 +58,7 @@ def us_ntz(c: Column) -> Column:
 
 def readable_object(c: Column) -> Column:
     """True where the text is one whole JSON object. Spark's own parser lets text behind the object pass, so brackets outside strings must also balance."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"\\\\.", ""), r'"[^"]*"', "")
+    bare = F.regexp_replace(F.regexp_replace(c, r"\\.", ""), r'"[^"]*"', "")
     left = F.length(F.regexp_replace(bare, r"[^{\[]", ""))
     right = F.length(F.regexp_replace(bare, r"[^}\]]", ""))
     whole = F.btrim(bare, F.lit(BLANKS))
