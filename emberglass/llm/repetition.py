@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import hashed_sample
 from .logistic import Logistic
 
 #: Words of the stretches that count as said again.
@@ -76,7 +77,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(documents: DataFrame, rows: int = FIT_ROWS) -> Logistic | None:
     """The regression, fitted on at most ``rows`` documents whose labels are their exact shares; None where one class is missing."""
-    sample = documents.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text")
+    sample = documents.where("text is not null").select("doc_id", "text")
+    sample = hashed_sample(sample, rows, "doc_id").select("text")
     found = sample.mapInArrow(_measure, "share double, x array<double>").collect()
     if not found:
         return None
