@@ -24,8 +24,8 @@ LIMIT = 0.3
 PROPOSE = 0.002
 #: Most documents the regression is fitted on, those of the smallest hashes.
 FIT_ROWS = 4000
-WORD_ORDERS = (1, 2, 3, 5, 8)
-CHAR_ORDERS = (12, 24, 48)
+WORD_ORDERS = (2, 5)
+CHAR_ORDERS = (32,)
 _WORD = re.compile(r"\w+")
 
 
@@ -49,16 +49,29 @@ def repeated_share(words: list[str], n: int = STRETCH) -> float:
     return covered / total if total else 0.0
 
 
-def _again(codes: np.ndarray, n: int) -> float:
-    """Share of the hashed n-grams of a code sequence that occurred before."""
-    m = len(codes) - n + 1
-    if m < 2:
-        return 0.0
-    h = np.zeros(m, dtype=np.uint64)
-    for i in range(n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + m] + np.uint64(1)
-        h ^= h >> np.uint64(29)
-    return 1.0 - len(np.unique(h)) / m
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _again(codes: np.ndarray, orders: tuple[int, ...]) -> list[float]:
+    """For each order, the share of the hashed n-grams of a code sequence that occurred before; grams of 2n come from pairs of n."""
+    by: dict[int, np.ndarray] = {1: codes}
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = (a[: len(b)] * _MIX + b) * _MIX
+        return h ^ (h >> np.uint64(29))
+
+    def of(n: int) -> np.ndarray:
+        if n not in by:
+            k = 1 << ((n - 1).bit_length() - 1)  # the largest power of two below n
+            by[n] = pair(of(k), of(n - k)[k:]) if len(codes) >= n else codes[:0]
+        return by[n]
+
+    out = []
+    for n in orders:
+        h = of(n)
+        h = np.sort(h)
+        out.append(float((h[1:] == h[:-1]).sum()) / len(h) if len(h) > 1 else 0.0)
+    return out
 
 
 def features(text: str, words: list[str]) -> list[float]:
@@ -66,7 +79,7 @@ def features(text: str, words: list[str]) -> list[float]:
     number: dict[str, int] = {}
     codes = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.uint64)
     chars = np.frombuffer(text.casefold().encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    return [*(_again(codes, n) for n in WORD_ORDERS), *(_again(chars, n) for n in CHAR_ORDERS), float(np.log1p(len(words)))]
+    return [*_again(codes, WORD_ORDERS), *_again(chars, CHAR_ORDERS), float(np.log1p(len(words)))]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
