@@ -369,6 +369,7 @@ def _rule(c) -> V:
 
 def _label(status: int) -> Callable:
     def build(c) -> V:
+        c.lowering.check_label(c)
         e = c.entity
         gate = c.args["apply_if"]
         seconds = lambda x: F.lit(None).cast("double") if x.ty.kind == "none" else x.col.cast("double")
@@ -405,6 +406,7 @@ declare("BanUser", "effects", "entity:entity; comment:str")(lambda c: _effect("b
 @declare("HasLabel", "labels", "entity:entity; label:!str; manual:!bool?=None; status:!str='added'; min_label_age:timedelta?=None; error_on_empty:!bool=False")
 def _has_label(c) -> V:
     """Whether the entity has the label as of the start of the batch."""
+    c.lowering.check_label(c)
     if c.status.const not in ("added", "removed"):
         raise c.refuse("status is added or removed")
     wanted, manual = c.status.const, c.manual.const

@@ -494,6 +494,18 @@ class Lowering:
         self.lookups.setdefault(stage, []).append((name, entity.entity_type or "", entity.held()))
         return F.col(name)
 
+    def check_label(self, call: Call) -> None:
+        """Where labels are configured, a label must be among them and fit the entity's type."""
+        known = self.sources.config.get("labels")
+        if known is None:
+            return
+        label, kind = call.label.const, call.entity.entity_type
+        if label not in known:
+            raise call.refuse(f"label {label!r} is not configured")
+        fit = (known[label] or {}).get("valid_for") or []
+        if fit and kind not in fit:
+            raise call.refuse(f"label {label!r} is for {', '.join(fit)}, not {kind}")
+
     # ---- calls ----
     def arguments(self, e: ast.Call, signature) -> dict[str, V]:
         given = {k.arg: k.value for k in e.keywords}

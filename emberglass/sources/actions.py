@@ -92,3 +92,15 @@ def sample(actions: DataFrame, rates: dict[str, int]) -> DataFrame:
 def skip_marked(actions: DataFrame, mark: str) -> DataFrame:
     """Without the actions whose data hold a true value under ``mark``."""
     return actions.where(F.coalesce(F.get_json_object("data", f"$.{mark}"), F.lit("false")).isin("false", "null", "0", ""))
+
+
+def entity_ids(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+    """``(entity_id)`` of an uploaded CSV file: the named column, else the first; empty cells are left out."""
+    df = spark.read.csv(path, header=True)
+    return df.select(F.btrim(F.col(column or df.columns[0])).alias("entity_id")).where("entity_id <> ''")
+
+
+def jobs(spark: SparkSession, url: str, queue: str, now: str, **options) -> DataFrame:
+    """Jobs of a database table that may be claimed, the longest waiting first; locking is left to the database."""
+    table = spark.read.format("jdbc").options(url=url, dbtable=queue, **options).load()
+    return table.where(F.col("claim_until").isNull() | (F.col("claim_until") < F.lit(now).cast("timestamp"))).orderBy(F.col("claim_until").asc_nulls_first())

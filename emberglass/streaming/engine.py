@@ -137,3 +137,18 @@ def simple_states(states: DataFrame) -> DataFrame:
     """Label states in the form rules read."""
     reason = lambda _, r: F.struct(r["pending"].alias("pending"), r["description"].alias("description"), r["created_at"].alias("created_at"), r["expires_at"].alias("expires_at"))
     return states.select("entity_type", "entity_id", F.transform_values("labels", lambda _, s: F.struct(s["status"].alias("status"), F.transform_values(s["reasons"], reason).alias("reasons"))).alias("labels"))
+
+
+def classify(spark: SparkSession, rules: Lowered, actions: list[dict], states: DataFrame | None = None) -> list[dict]:
+    """Verdicts of a few actions at once, as a synchronous caller wants them: ``{action_id, verdicts, entity_verdicts}`` each.
+
+    An action is ``{action_id, action_name, data, timestamp, secret_data?}`` with data as JSON text or a dict. The list is the caller's
+    own and small; for tables use ``Lowered.evaluate``.
+    """
+    import json
+
+    text = lambda x: x if isinstance(x, str) or x is None else json.dumps(x)
+    rows = [(a["action_id"], a["action_name"], a["timestamp"], text(a.get("data")), text(a.get("secret_data"))) for a in actions]
+    df = spark.createDataFrame(rows, "action_id bigint, action_name string, timestamp timestamp, data string, secret_data string").coalesce(1)
+    got = rules.evaluate(df, labels=states).select("__action_id", "__verdicts", "__entity_verdicts").collect()
+    return [{"action_id": r[0], "verdicts": r[1] or [], "entity_verdicts": r[2] or []} for r in got]

@@ -277,3 +277,33 @@ def test_history_and_lineage(spark):
     assert got == [("a", "1", 2024), ("a", "2", 9999), ("b", "1", 9999), ("c", "1", 9999)]
     q = spark.createDataFrame([(1, None, "x"), (2, 1, "y"), (3, 2, "z"), (4, 1, "w")], "id long, parent_id long, query string")
     assert [r.id for r in catalogue.query_lineage(q, 3).collect()] == [3, 2, 1]
+
+
+def test_query_history(spark, tmp_path):
+    from emberglass.plans.history import History
+
+    h = History(spark, str(tmp_path / "h"))
+    assert h.latest().count() == 0 and h.saved().count() == 0
+    for i, who in enumerate(["a@x", "b@x", "a@x"]):
+        h.record(i, who, f"A == {i}", NOW, NOW, NOW)
+    h.save(1, 0, "first", "a@x", NOW)
+    h.save(1, 2, "first", "a@x", NOW + timedelta(days=1))
+    assert [r.id for r in h.latest().collect()] == [2, 1, 0] and [r.id for r in h.latest("a@x", before=2).collect()] == [0]
+    assert [r[0] for r in h.user_emails().collect()] == ["a@x", "b@x"] and [r.query for r in h.saved().collect()] == ["A == 2"]
+
+
+def test_configured_labels_and_direct_verdicts(spark):
+    from emberglass.lang.syntax import Sources
+
+    config = {"labels": {"seen": {"valid_for": ["User"]}, "other": {"valid_for": ["Guild"]}}}
+    rules = compile_rules(Sources(RULES, config))
+    got = engine.classify(spark, rules, [{"action_id": 1, "action_name": "n", "timestamp": NOW, "data": {"u": "a"}}])
+    assert got == [{"action_id": 1, "verdicts": ["new"], "entity_verdicts": ["User/a/seen"]}]
+    for label in ("other", "unknown"):
+        with pytest.raises(RuleError):
+            compile_rules(Sources({"main.sml": RULES["main.sml"].replace("label='seen'), Dec", f"label='{label}'), Dec")}, config))
+
+
+def test_uploaded_ids(spark, tmp_path):
+    (tmp_path / "ids.csv").write_text("id,x\n1,a\n ,b\n3,c\n")
+    assert [r[0] for r in actions.entity_ids(spark, str(tmp_path / "ids.csv")).collect()] == ["1", "3"]
