@@ -104,22 +104,25 @@ def mutations_of(evaluated: DataFrame) -> DataFrame:
 def fold(mutations: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """``(entity_type, entity_id, labels, dropped)``: label states after all mutations, requests in order of time and id.
 
-    The order matters, so an entity's mutations are folded one after another. They stream through in sorted order, partition by
-    partition: nothing of an entity is held but its state, however many mutations it has; entities are spread by hash. Before,
+    The order matters, so the mutations of an entity's label are folded one after another; labels do not touch each other, so they are
+    spread over the tasks. Mutations stream through in sorted order: nothing is held but the state, however many there are. Before,
     mutations that say the same again within one request are made one. ``states`` are the states at the start. Mutations of null
-    entities are left out.
+    entities are left out; an empty label name is dropped and counted.
     """
-    key = ["entity_type", "entity_id"]
-    cols = ["entity_type", "entity_id", "request_id", "at", "label_name", "reason_name", "status", "pending", "description", "expires_at"]
+    who = ["entity_type", "entity_id"]
+    key = [*who, "label_name"]
+    cols = [*key, "request_id", "at", "reason_name", "status", "pending", "description", "expires_at"]
     asked = mutations.where("entity_type is not null and entity_id is not null and status is not null").select(*cols).distinct()
-    asked = asked.withColumn("labels", F.lit(None).cast(f"map<string,{STATE}>"))
+    asked = asked.withColumn("label_name", F.coalesce("label_name", F.lit(""))).withColumn("state", F.lit(None).cast(STATE))
     if states is not None:
-        known = states.select(*key, *[F.lit(None).cast(t).alias(c) for c, t in (("request_id", "bigint"), ("at", "timestamp"), ("label_name", "string"), ("reason_name", "string"), ("status", "int"), ("pending", "boolean"), ("description", "string"), ("expires_at", "timestamp"))], F.col("labels").cast(f"map<string,{STATE}>"))
-        asked = asked.unionByName(known)
-    ordered = asked.repartition(*key).sortWithinPartitions(*key, F.col("labels").isNotNull().desc(), "at", "request_id", "label_name", "status", "reason_name")
+        none = (("request_id", "bigint"), ("at", "timestamp"), ("reason_name", "string"), ("status", "int"), ("pending", "boolean"), ("description", "string"), ("expires_at", "timestamp"))
+        known = states.select(*who, F.explode("labels").alias("label_name", "s"))
+        asked = asked.unionByName(known.select(*key, *[F.lit(None).cast(t).alias(c) for c, t in none], F.col("s").cast(STATE).alias("state")))
+    ordered = asked.repartition(*key).sortWithinPartitions(*key, F.col("state").isNotNull().desc(), "at", "request_id", "status", "reason_name")
+    names = [*key, "state", "dropped"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entity, labels, dropped, request, waiting = None, {}, 0, None, []
+        at, labels, dropped, request, waiting = None, {}, 0, None, []
 
         def settle() -> None:
             nonlocal dropped, waiting
@@ -130,25 +133,27 @@ def fold(mutations: DataFrame, states: DataFrame | None = None) -> DataFrame:
         for pdf in batches:
             out = []
             for r in _rows(pdf):
-                k = (r["entity_type"], r["entity_id"])
-                if k != entity:
+                k = tuple(r[c] for c in key)
+                if k != at:
                     settle()
-                    if entity is not None:
-                        out.append((*entity, labels, dropped))
-                    entity, labels, dropped, request = k, {}, 0, None
-                if r["labels"] is not None:
-                    labels = {n: _state(x) for n, x in dict(r["labels"]).items()}
+                    if at is not None:
+                        out.append((*at, labels.get(at[2]), dropped))
+                    at, labels, dropped, request = k, {}, 0, None
+                if r["state"] is not None:
+                    labels = {k[2]: _state(r["state"])}
                     continue
                 if (r["at"], r["request_id"]) != request:
                     settle()
                     request = (r["at"], r["request_id"])
                 waiting.append(r)
-            yield pd.DataFrame(out, columns=["entity_type", "entity_id", "labels", "dropped"])
+            yield pd.DataFrame(out, columns=names)
         settle()
-        if entity is not None:
-            yield pd.DataFrame([(*entity, labels, dropped)], columns=["entity_type", "entity_id", "labels", "dropped"])
+        if at is not None:
+            yield pd.DataFrame([(*at, labels.get(at[2]), dropped)], columns=names)
 
-    return ordered.mapInPandas(run, f"entity_type string, entity_id string, labels map<string,{STATE}>, dropped int")
+    one = ordered.mapInPandas(run, f"entity_type string, entity_id string, label_name string, state {STATE}, dropped int")
+    some = F.collect_list(F.when(F.col("state").isNotNull(), F.struct("label_name", "state")))  # as many as the entity has labels
+    return one.groupBy(*who).agg(F.map_from_entries(some).alias("labels"), F.sum("dropped").cast("int").alias("dropped"))
 
 
 def _state(x: dict) -> dict:
