@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85                　"
 
 
+def filled(c: Column) -> Column:
+    """The text, null where it is empty. Unlike ``nullif`` it leaves a scan free to read only the nested fields in use."""
+    return F.when(c != "", c)
+
+
 def user_key(c: Column) -> Column:
     """User id in lower case without surrounding white space; null where nothing is left."""
-    return F.nullif(F.lower(F.btrim(c, F.lit(BLANKS))), F.lit(""))
+    return filled(F.lower(F.btrim(c, F.lit(BLANKS))))
 
 
 def type_key(c: Column) -> Column:
     """One spelling per event type: ``CreatePost``, ``create-post`` and ``CREATE_POST `` all become ``create_post``; null where nothing is left."""
     t = F.btrim(c, F.lit(BLANKS))
     snake = F.lower(F.regexp_replace(F.regexp_replace(t, r"([a-z0-9])([A-Z])", "$1_$2"), r"[\s\-.]+", "_"))
-    return F.nullif(F.when(t.rlike(r"^[a-z0-9_]*$"), t).otherwise(snake), F.lit(""))
+    return filled(F.when(t.rlike(r"^[a-z0-9_]*$"), t).otherwise(snake))
 
 
 def whole_number_key(c: Column) -> Column:
@@ -38,12 +43,13 @@ def send_time_us(c: Column) -> Column:
     of seconds, milliseconds, microseconds or nanoseconds by their length. Digits finer than a microsecond are cut off.
     """
     s = F.upper(F.btrim(c, F.lit(BLANKS)))
-    zoned = s.rlike(r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)$") & (F.length(s) > 10)
-    iso = F.when(s.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ]|$)"), F.when(zoned, s).otherwise(F.concat(s, F.when(F.length(s) <= 10, F.lit("T00:00:00Z")).otherwise(F.lit("Z")))))
     n = F.length(s)
+    sign = lambda at: F.substring(s, at, 1).isin("+", "-")
+    zoned = F.substring(s, -1, 1).eqNullSafe("Z") | sign(-6) | sign(-5) | sign(-3)
+    iso = F.when(n <= 10, F.concat(s, F.lit("T00:00:00Z"))).when(zoned, s).otherwise(F.concat(s, F.lit("Z")))
     whole = F.when(s.rlike(r"^[0-9]{9,19}$"), s.try_cast("bigint"))
     number = F.when(n <= 10, whole * 1_000_000).when(n <= 13, whole * 1000).when(n <= 16, whole).otherwise(F.floor(whole / F.lit(1000)).cast("bigint"))
-    return F.when(F.substring(s, 5, 1) == "-", F.unix_micros(iso.try_cast("timestamp"))).otherwise(number)
+    return F.when(F.substring(s, 5, 1) == "-", F.when(n >= 8, F.unix_micros(iso.try_cast("timestamp")))).otherwise(number)
 
 
 def ntz_us(c: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ntz_us, readable_object, send_time_us, type_key, us_ntz, user_key
+from ..functions.text import filled, ntz_us, readable_object, send_time_us, type_key, us_ntz, user_key
 from ..operators import dedup, drift, features, lateness, sessions
-from ..runtime import table
+from ..runtime import computed, table
 
 #: Arrival times before this are what senders write when they know none.
 KNOWN_FROM_US = 365 * 86_400 * 1_000_000
@@ -66,10 +66,9 @@ def p2_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.unionByName(a).withColumnRenamed("entity", "user_id")
 
 
-def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "kafka_messages")
-    d = "template.data"
-    return t.select(user_key(F.col(f"{d}.data.user_id")).alias("user_id"), send_time_us(F.col("template.send_time")).alias("time_us"), F.nullif(F.btrim(f"{d}.action_id"), F.lit("")).alias("action_id"))
+def session_events(spark: SparkSession, sf_dir: str, actions: bool = False) -> DataFrame:
+    t = table(spark, sf_dir, "kafka_messages").select(F.col("template.data.data.user_id").alias("user"), F.col("template.data.action_id").alias("action"), F.col("template.send_time").alias("sent"))
+    return computed(t, user_id=user_key(F.col("user")), time_us=send_time_us(F.col("sent")), **({"action_id": filled(F.btrim("action"))} if actions else {}))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +76,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.sessions_with_actions(session_events(spark, sf_dir))
+    return sessions.sessions_with_actions(session_events(spark, sf_dir, actions=True))
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,14 @@ def hashed_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     h = F.pmod(F.xxhash64(*keys), F.lit(span))
     thin = df if n <= most else df.where(h < int(span * min(1.0, 1.1 * most / n + 50 / n)))
     return thin.orderBy(h, *keys).limit(most)
+
+
+def computed(df: DataFrame, **columns) -> DataFrame:
+    """The named columns, each computed once per row.
+
+    Filters on a computed column are otherwise moved below it together with its expression, which is then computed for the filter
+    and again for the result; behind a generator it stays a column. Only the fields the expressions use are read.
+    """
+    from pyspark.sql import functions as F
+
+    return df.select(F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
