@@ -79,14 +79,11 @@ def p4_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.sessions_with_actions(session_events(spark, sf_dir, actions=True))
 
 
-def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arrivals(spark: SparkSession, sf_dir: str, actions: bool = True) -> DataFrame:
     """``(dataset, record_id, action_name, event_us, arrival_us)`` of both tables; unknown times are null."""
-    k = table(spark, sf_dir, "kafka_messages")
-    at = ntz_us(F.col("kafka_timestamp"))
-    kafka = k.select(
-        F.lit("kafka_messages").alias("dataset"), F.col("id").alias("record_id"), F.col("template.data.action_name").alias("action_name"),
-        send_time_us(F.col("template.send_time")).alias("event_us"), F.when(at >= KNOWN_FROM_US, at).alias("arrival_us"),
-    )
+    at = ntz_us(F.col("at"))
+    k = table(spark, sf_dir, "kafka_messages").select("id", F.col("kafka_timestamp").alias("at"), F.col("template.data.action_name").alias("name"), F.col("template.send_time").alias("sent"))
+    kafka = computed(k, dataset=F.lit("kafka_messages"), record_id=F.col("id"), action_name=F.col("name") if actions else F.lit(None).cast("string"), event_us=send_time_us(F.col("sent")), arrival_us=F.when(at >= KNOWN_FROM_US, at))
     a = table(spark, sf_dir, "action_requests")
     requests = a.select(
         F.lit("action_requests").alias("dataset"), F.col("request_no").cast("string").alias("record_id"), "action_name",
@@ -96,7 +93,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lateness.refused(arrivals(spark, sf_dir))
+    return lateness.refused(arrivals(spark, sf_dir, actions=False))
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
