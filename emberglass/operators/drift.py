@@ -7,9 +7,9 @@ aggregation in Arrow batches; everything after it works on the catalogue, which
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-#: Buckets of a field's content fingerprint.
-BUCKETS = 512
+#: Different values, and different outlines, a field's fingerprint keeps of one file: those of the smallest hashes, with their exact counts.
+SKETCH = 512
+#: Values of at least this share are kept besides; from four times this share they are compared apart from the sketch.
+OFTEN = 1 / 256
+#: Characters of payload whose values a task holds before they are counted and passed on.
+HELD = 32 << 20
 #: Share of a file's readable records that must hold a field.
 PRESENT = 0.1
 KINDS = ("string", "number", "boolean", "array")
@@ -29,26 +33,77 @@ KINDS = ("string", "number", "boolean", "array")
 _PROFILE = pa.schema([("dataset", pa.string()), ("producer", pa.string()), ("file_seq", pa.int64()), ("path", pa.string()), ("feature", pa.string()), ("n", pa.int64())])
 
 
+_CLASSES = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}})
+_RUNS = ((re.compile("99+"), "9"), (re.compile("A[aA]+"), "A"), (re.compile("a[aA]+"), "a"))
+#: Longest outline.
+OUTLINE = 20
+
+
 def _shape(text: str) -> str:
-    """The text's outline: runs of digits, lower and upper case letters as 9, a, A; other characters as they are."""
-    head = text[:48]
-    return re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() else "a", re.sub(r"\d+", "9", head))[:20]
+    """The whole text's outline: runs of digits, lower and upper case letters as 9, a, A; other characters as they are."""
+    if not text.isascii():
+        return re.sub(r"[^\W\d_]+", lambda m: "A" if m[0][0].isupper() else "a", re.sub(r"\d+", "9", text))
+    text = text.translate(_CLASSES)
+    for run, one in _RUNS:
+        text = run.sub(one, text)
+    return text
 
 
-def _content(value: object) -> Iterator[str]:
-    """Features of one value, hashed into few buckets, so that a fingerprint stays small whatever the field holds."""
-    if isinstance(value, bool):
-        yield f"v:{value}"
-    elif isinstance(value, int | float):
-        yield f"m:{math.floor(4 * math.log2(abs(value) + 1)) if math.isfinite(value) else 'x'}{'-' if value < 0 else ''}{'f' if isinstance(value, float) else ''}"
-    elif isinstance(value, str):
-        yield f"v:{zlib.crc32(value.encode('utf-8', 'surrogatepass')) % BUCKETS}"
-        yield f"s:{zlib.crc32(_shape(value).encode('utf-8', 'surrogatepass')) % BUCKETS}"
-        n = len(value)
-        yield f"l:{min(n, 12) if n < 12 else 12 + n.bit_length()}"
-    elif isinstance(value, list):
-        for x in value[:64]:
-            yield from _content(x)
+def _outlines(text: str) -> set[str]:
+    """The outline of a text's head."""
+    s = _shape(text[:48])
+    return {s[:OUTLINE]}
+
+
+def _sketch(values: Counter, name: str) -> Iterator[tuple[str, int]]:
+    """Hashed values with their counts: the ``SKETCH`` smallest hashes and what is frequent; under ``name#`` the count of all.
+
+    A value among the smallest hashes of a whole file is so in every part of it, so its counts add up exactly.
+    """
+    total = sum(values.values())
+    hashed = [(hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), n) for v, n in values.items()]
+    if len(hashed) > SKETCH:
+        hashed.sort()
+        hashed = hashed[:SKETCH] + [x for x in hashed[SKETCH:] if x[1] >= total * OFTEN]
+    yield f"{name}#", total
+    for h, n in hashed:
+        yield f"{name}:{h}", n
+
+
+def _content(by_type: dict[type, list]) -> Iterator[tuple[str, int]]:
+    """Features of one field's values with their counts; a number's size and a text's length in few classes, the rest as sketches."""
+    values, outlines, small = Counter(), Counter(), Counter()
+    for kind, held in by_type.items():
+        for value, n in Counter(held).items():
+            if kind is bool:
+                values[str(value)] += n
+            elif kind is str:
+                values[value] += n
+                size = len(value)
+                small[f"l:{size if size < 12 else 12 + size.bit_length()}"] += n
+                for s in _outlines(value):
+                    outlines[s] += n
+            else:
+                small[f"m:{math.floor(4 * math.log2(abs(value) + 1)) if math.isfinite(value) else 'x'}{'-' if value < 0 else ''}{'f' if kind is float else ''}"] += n
+    yield from small.items()
+    if values:
+        yield from _sketch(values, "v")
+    if outlines:
+        yield from _sketch(outlines, "s")
+
+
+def _items(value: list) -> Iterator[object]:
+    """All values of a list and of the lists in it."""
+    todo = [iter(value)]
+    while todo:
+        for x in todo[-1]:
+            if isinstance(x, list):
+                todo.append(iter(x))
+                break
+            if isinstance(x, bool | int | float | str):
+                yield x
+        else:
+            todo.pop()
 
 
 def _kind(value: object) -> str:
@@ -71,8 +126,24 @@ def _leaves(obj: dict, at: str = "") -> Iterator[tuple[str, object]]:
 def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import json
 
+    counts: Counter = Counter()
+    content: dict[tuple, dict[type, list]] = {}
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held
+        for at, by_type in content.items():
+            for f, n in _content(by_type):
+                counts[*at, f] += n
+        keys = list(counts)
+        cols = [pa.array([k[i] for k in keys], type=_PROFILE.field(i).type) for i in range(5)]
+        out = pa.RecordBatch.from_arrays([*cols, pa.array(list(counts.values()), type=pa.int64())], schema=_PROFILE)
+        counts.clear()
+        content.clear()
+        held = 0
+        return out
+
     for batch in batches:
-        counts: Counter = Counter()
         for dataset, producer, seq, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             try:
                 obj = json.loads(text) if text else None
@@ -90,11 +161,13 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 counts[*at, "p"] += 1
                 if value is not None:
                     counts[*at, f"t:{_kind(value)}"] += 1
-                    for f in _content(value):
-                        counts[*at, f] += 1
-        keys = list(counts)
-        cols = [pa.array([k[i] for k in keys], type=_PROFILE.field(i).type) for i in range(5)]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(list(counts.values()), type=pa.int64())], schema=_PROFILE)
+                    by_type = content.setdefault(at, {})
+                    for x in list(_items(value))[:64] if isinstance(value, list) else (value,):
+                        by_type.setdefault(type(x), []).append(x)
+            held += len(text)
+            if held >= HELD:
+                yield flush()
+    yield flush()
 
 
 def profile(rows: DataFrame) -> DataFrame:
@@ -102,12 +175,19 @@ def profile(rows: DataFrame) -> DataFrame:
 
     Unreadable, empty and null payloads, and those that are no object, are no readable records.
     Feature ``r`` under the empty path counts readable records, ``p`` records with the key, ``t:`` a type's values;
-    the others are content. Rows without a dataset, producer or file belong to no file and are left out; extra columns
+    the others are content: ``l:`` and ``m:`` in few classes, ``v:`` and ``s:`` the sketches of values and outlines with ``v#`` and
+    ``s#`` the counts of all. Rows without a dataset, producer or file belong to no file and are left out; extra columns
     are ignored.
     """
     names = rows.where("dataset is not null and producer is not null and file_seq is not null").select("dataset", "producer", F.col("file_seq").cast("bigint").alias("file_seq"), "payload")
     counted = names.mapInArrow(_profile_batches, "dataset string, producer string, file_seq bigint, path string, feature string, n bigint")
-    return counted.groupBy("dataset", "producer", "file_seq", "path", "feature").agg(F.sum("n").alias("n"))
+    # all features of a field come together, so that its parts' sketches are merged and cut to size in one shuffle
+    added = counted.repartition(*_FIELD).groupBy(*_FIELD, "feature").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(*_FIELD, F.substring("feature", 1, 2))
+    total = F.max(F.when(F.col("feature").endswith("#"), F.col("n"))).over(Window.partitionBy(*_FIELD, F.substring("feature", 1, 1)))
+    ranked = added.withColumns({"rank": F.row_number().over(own.orderBy("feature")), "total": total})
+    sketched = F.substring("feature", 1, 2).isin("v:", "s:")
+    return ranked.where(~sketched | (F.col("rank") <= SKETCH) | (F.col("n") >= F.col("total") * OFTEN)).select(*_FIELD, "feature", "n")
 
 
 _FILE = ["dataset", "producer", "file_seq"]
@@ -202,6 +282,46 @@ def _pair_up(pdf):
 STRONG = 0.6
 
 
+def _overlap(x: dict[str, float], y: dict[str, float]) -> float:
+    """The shared part of two distributions, from their shares by feature, whatever the number of records behind them.
+
+    Frequent features are compared as they are. Of the others the same hashes are looked at on both sides, those up to the smaller
+    of the two sketches' last one; what they share is carried on to all. Fields with fewer values than a sketch are compared whole.
+    """
+    if x.keys().isdisjoint(y):
+        return 0.0
+    last = min(sorted(z)[SKETCH - 1] if len(z) >= SKETCH else "~" for z in (x, y))
+    often = {f for z in (x, y) for f, share in z.items() if share >= 4 * OFTEN}
+    same = sum(min(x.get(f, 0.0), y.get(f, 0.0)) for f in often)
+    rest_x, rest_y = (max(0.0, 1 - sum(z.get(f, 0.0) for f in often)) for z in (x, y))
+    rare_x, rare_y = ({f: share for f, share in z.items() if f <= last and f not in often} for z in (x, y))
+    seen = max(sum(rare_x.values()), sum(rare_y.values()))
+    shared = sum(min(share, rare_y[f]) for f, share in rare_x.items() if f in rare_y)
+    return same + (min(rest_x, rest_y, shared * max(rest_x, rest_y) / seen) if seen else 0.0)
+
+
+def _alike(gone, came):
+    """All pairs of gone and new fields of one file and kind that share a feature. Bounded by the fields of one file."""
+    import pandas as pd
+
+    def prints(pdf) -> dict[tuple, dict[str, dict[str, float]]]:
+        out: dict[tuple, dict[str, dict[str, float]]] = {}
+        for kind, path, c, feature, share in zip(*(pdf[x] for x in ("kind", "path", "class", "feature", "share")), strict=True):
+            out.setdefault((kind, path), {}).setdefault(c, {})[feature] = share
+        return out
+
+    rows = []
+    new = prints(came)
+    for (kind, a), p in prints(gone).items():
+        for (other, b), q in new.items():
+            if kind == other:
+                v, s, m, ln = (_overlap(p.get(c, {}), q.get(c, {})) for c in "vsml")
+                content = max(v if kind == "boolean" else max(v, 0.7 * s + 0.3 * ln), m)
+                if content > 0:
+                    rows.append((gone["dataset"].iloc[0], gone["producer"].iloc[0], gone["file_no"].iloc[0], a, b, kind, content))
+    return pd.DataFrame(rows, columns=["dataset", "producer", "file_no", "gone", "came", "kind", "content"])
+
+
 def likenesses(profiled: DataFrame, marks: DataFrame) -> DataFrame:
     """``(dataset, producer, file_no, gone, came, kind, content)`` for gone and new fields of one file and kind.
 
@@ -210,19 +330,19 @@ def likenesses(profiled: DataFrame, marks: DataFrame) -> DataFrame:
     """
     readable = profiled.where("path = '' and feature = 'r'").select(*_FILE)
     files = readable.withColumn("file_no", F.row_number().over(Window.partitionBy("dataset", "producer").orderBy("file_seq")))
-    feats = profiled.where("path <> '' and substring(feature, 1, 2) in ('v:', 's:', 'm:', 'l:')")
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(*_FIELD, "class"))
-    prints = feats.join(files, _FILE).withColumn("class", F.substring("feature", 1, 1)).withColumn("share", share).select("dataset", "producer", "file_no", "path", "feature", "class", "share")
     key = ["dataset", "producer", "file_no", "path"]
-    gone = marks.where("begins is null").select(*key, F.col("ends").alias("kind")).join(prints.withColumn("file_no", F.col("file_no") + 1), key)
-    came = marks.where("ends is null").select(*key, F.col("begins").alias("kind")).join(prints, key)
-    gone = gone.withColumnsRenamed({"path": "gone", "share": "p"})
-    came = came.withColumnsRenamed({"path": "came", "share": "q"})
-    by = ["dataset", "producer", "file_no", "gone", "came", "kind"]
-    per = gone.join(came, ["dataset", "producer", "file_no", "kind", "class", "feature"]).groupBy(*by, "class").agg(F.sum(F.least("p", "q")).alias("same"))
-    wide = per.groupBy(*by).agg(*[F.max(F.when(F.col("class") == c, F.col("same")).otherwise(0.0)).alias(f"c_{c}") for c in "vsml"])
-    content = F.greatest(F.when(F.col("kind") == "boolean", F.col("c_v")).otherwise(F.greatest("c_v", 0.7 * F.col("c_s") + 0.3 * F.col("c_l"))), F.col("c_m"))
-    return wide.withColumn("content", content)
+    at = profiled.where("path <> '' and (substring(feature, 1, 2) in ('v:', 's:', 'm:', 'l:') or feature in ('v#', 's#'))").join(files, _FILE).select(*key, "feature", "n")
+    own = Window.partitionBy(*key, "class")
+
+    def prints(of: DataFrame) -> DataFrame:
+        total = F.coalesce(F.max(F.when(F.col("feature").endswith("#"), F.col("n"))).over(own), F.sum("n").over(own))
+        return of.withColumn("class", F.substring("feature", 1, 1)).withColumn("share", F.col("n") / total).where(~F.col("feature").endswith("#")).select(*key, "kind", "class", "feature", "share")
+
+    gone = prints(marks.where("begins is null").select(*key, F.col("ends").alias("kind")).join(at.withColumn("file_no", F.col("file_no") + 1), key))
+    came = prints(marks.where("ends is null").select(*key, F.col("begins").alias("kind")).join(at, key))
+    came = came.toDF(*came.columns)  # columns of its own, as both sides come from one profile
+    file = key[:3]
+    return gone.groupBy(*file).cogroup(came.groupBy(*file)).applyInPandas(_alike, "dataset string, producer string, file_no int, gone string, came string, kind string, content double")
 
 
 def changes(profiled: DataFrame) -> DataFrame:

@@ -232,6 +232,16 @@ def test_drift_gap_and_return(spark):
     assert got == {(2, "b", "removed", ""), (3, "b", "added", "")}
 
 
+@pytest.mark.parametrize("n", [100, 100_000])
+def test_drift_is_judged_alike_whatever_the_size_of_a_file(spark, n):
+    before = F.struct(F.concat(F.lit("10.1."), F.col("id") % 251, F.lit("."), F.xxhash64("id") % 97).alias("client_address"), F.concat(F.lit("user_"), F.pmod(F.xxhash64("id"), F.lit(5000))).alias("old_user"), F.sha1(F.concat(F.lit("a"), "id")).alias("first_key"))
+    after = F.struct(F.concat(F.lit("/page/"), F.sha1(F.col("id").cast("string"))).alias("site_address"), F.concat(F.lit("user_"), F.pmod(F.xxhash64(F.col("id") + n), F.lit(5000))).alias("account_id"), F.concat_ws(" ", *[F.xxhash64("id", F.lit(i)) for i in range(5)]).alias("second_key"))
+    file = lambda seq, payload: spark.range(n).select(F.lit("d").alias("dataset"), F.lit("p").alias("producer"), F.lit(seq).alias("file_seq"), F.to_json(payload).alias("payload"))
+    got = {tuple(r)[2:] for r in drift.changes(drift.profile(file(1, before).unionByName(file(2, after)))).collect()}
+    removed, added = {(2, x, "removed", "") for x in ("client_address", "first_key")}, {(2, x, "added", "") for x in ("site_address", "second_key")}
+    assert got == {(2, "old_user", "renamed", "account_id"), *removed, *added}
+
+
 def test_drift_of_nothing(spark):
     assert drift.changes(drift.profile(spark.createDataFrame([], DRIFT))).count() == 0
     assert drift.changes(drift.profile(spark.createDataFrame(drift_rows({1: [None, "x"]}), DRIFT))).count() == 0
