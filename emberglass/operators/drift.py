@@ -35,8 +35,8 @@ _PROFILE = pa.schema([("dataset", pa.string()), ("producer", pa.string()), ("fil
 
 _CLASSES = str.maketrans({**{c: "9" for c in "0123456789"}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "A" for c in range(65, 91)}})
 _RUNS = ((re.compile("99+"), "9"), (re.compile("A[aA]+"), "A"), (re.compile("a[aA]+"), "a"))
-#: Longest outline.
-OUTLINE = 20
+#: Longest outline that is one feature, and the length of the pieces a longer one is taken in.
+OUTLINE, PIECE = 20, 8
 
 
 def _shape(text: str) -> str:
@@ -50,9 +50,9 @@ def _shape(text: str) -> str:
 
 
 def _outlines(text: str) -> set[str]:
-    """The outline of a text's head."""
-    s = _shape(text[:48])
-    return {s[:OUTLINE]}
+    """A short text's outline, or every piece of a longer one's, so that texts count whole and not by their head."""
+    s = _shape(text)
+    return {s} if len(s) <= OUTLINE else {s[i : i + PIECE] for i in range(len(s) - PIECE + 1)}
 
 
 def _sketch(values: Counter, name: str) -> Iterator[tuple[str, int]]:
@@ -162,7 +162,7 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 if value is not None:
                     counts[*at, f"t:{_kind(value)}"] += 1
                     by_type = content.setdefault(at, {})
-                    for x in list(_items(value))[:64] if isinstance(value, list) else (value,):
+                    for x in _items(value) if isinstance(value, list) else (value,):
                         by_type.setdefault(type(x), []).append(x)
             held += len(text)
             if held >= HELD:

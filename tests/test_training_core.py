@@ -242,6 +242,17 @@ def test_drift_is_judged_alike_whatever_the_size_of_a_file(spark, n):
     assert got == {(2, "old_user", "renamed", "account_id"), *removed, *added}
 
 
+def test_fingerprints_of_whole_values():
+    def likeness(x, y):
+        p, q = (dict(drift._content({str: v})) for v in (x, y))
+        total = lambda z: sum(n for f, n in z.items() if f[:2] == "s:")
+        return drift._overlap(*({f: n / total(z) for f, n in z.items() if f[:2] == "s:"} for z in (p, q)))
+
+    head = "the same words stand at the head of each of these texts "
+    assert likeness([head + "1-2-3:" * 40], [head + "(A)[B]" * 40]) < 0.6
+    assert list(drift._items([0, [1, ["x"]], None, {}, *range(100)])) == [0, 1, "x", *range(100)]
+
+
 def test_drift_of_nothing(spark):
     assert drift.changes(drift.profile(spark.createDataFrame([], DRIFT))).count() == 0
     assert drift.changes(drift.profile(spark.createDataFrame(drift_rows({1: [None, "x"]}), DRIFT))).count() == 0
