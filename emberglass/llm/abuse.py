@@ -10,16 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import hashed_sample
-from .restore import Restorer
+from ..runtime import cut, hashed_sample
+from .restore import Restorer, word_counts
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 _CLASSES = ("none", *CATEGORIES)
 #: Probability from which a category applies.
 LIMIT = 0.5
-#: Most labelled messages the scorer is fitted on, and most messages the character model is, both those of the smallest hashes.
+#: Most labelled messages the scorer is fitted on, those of the smallest hashes.
 FIT_LABELS = 30_000
-FIT_TEXTS = 30_000
+#: Share of all words from which a word is in the dictionary. Shares add up to 1, so it has at most 1 / LEAST_SHARE words.
+LEAST_SHARE = 1e-6
 #: Most rows a term or group list may have: both are sent to every executor.
 MOST_TERMS = 100_000
 
@@ -248,8 +249,21 @@ def _bounded(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-def fit(texts: DataFrame, labels: DataFrame, terms: DataFrame, groups: DataFrame, label_rows: int = FIT_LABELS, text_rows: int = FIT_TEXTS) -> Scorer:
-    """The scorer, fitted on the driver from at most ``label_rows`` labelled messages and ``text_rows`` messages, by hash of id."""
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = word_counts(b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+
+def dictionary(texts: DataFrame, share: float = LEAST_SHARE) -> dict[str, int]:
+    """Counts of the words of all messages: those said more than once that make at least ``share`` of all words."""
+    counted = cut(texts.where("text is not null and text <> ''").select("text").mapInArrow(_word_batches, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return {r["word"]: r["n"] for r in counted.where((F.col("n") > 1) & (F.col("n") >= share * total)).collect()}
+
+
+def fit(texts: DataFrame, labels: DataFrame, terms: DataFrame, groups: DataFrame, label_rows: int = FIT_LABELS) -> Scorer:
+    """The scorer, fitted on the driver from at most ``label_rows`` labelled messages, by hash of id, and the words of all messages."""
     known = [(r["term"], r["category"], r["weight"]) for r in _bounded(terms.where("term is not null"), MOST_TERMS, "terms")]
     names = [r["group_name"] for r in _bounded(groups.where("group_name is not null"), MOST_TERMS, "groups")]
     some = labels.where("id is not null and category is not null").select("id", "category")
@@ -257,8 +271,7 @@ def fit(texts: DataFrame, labels: DataFrame, terms: DataFrame, groups: DataFrame
     one = texts.where("text is not null and text <> ''").select("id", "text")
     # the labels are at most label_rows ids, so they are broadcast and no message is shuffled for them
     labelled = one.join(F.broadcast(some), "id").groupBy("id", "category").agg(F.min("text").alias("text")).orderBy("id", "category").collect()
-    sample = hashed_sample(one, text_rows, "id", "text").select("text").collect()
-    restorer = Restorer([r["text"] for r in sample] + [r["text"] for r in labelled], [t for t, _, _ in known] + names)
+    restorer = Restorer([], [t for t, _, _ in known] + names, dictionary(one))
     return Scorer(restorer, known, names).fit([(r["text"], r["category"]) for r in labelled])
 
 
@@ -266,7 +279,7 @@ def scores(texts: DataFrame, labels: DataFrame, terms: DataFrame, groups: DataFr
     """``(id, abusive, hateful, sexual)``: the probability of each category for every row of ``texts(id, text)``.
 
     Null, empty and blank texts score 0; without labels of two categories all score 0. Repeated rows are scored as often as
-    they come; extra columns are ignored; whole texts are read. No shuffle but for the fit's bounded samples: the fitted
+    they come; extra columns are ignored; whole texts are read. No shuffle but for the fit's bounded sample and the counts of words: the fitted
     scorer (bounded by its parameters) is broadcast and texts are scored in the Arrow batches they are read in.
     """
     shared = texts.sparkSession.sparkContext.broadcast(fit(texts, labels, terms, groups))

@@ -11,6 +11,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable
 
 #: What a character may stand for, besides itself. Fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "¢": "c", "&": "a"}
@@ -46,15 +47,23 @@ def tidy(text: str) -> str:
     return "".join(out)
 
 
+def word_counts(texts: Iterable[str]) -> Counter[str]:
+    """Words of the texts that hold no spaced-out word, with their counts. Counts of parts of the texts add up."""
+    words: Counter[str] = Counter()
+    for t, n in Counter(texts).items():
+        low = tidy(t)
+        if not _SPACED.search(low):
+            found = _WORD.findall(low)
+            words.update(found if n == 1 else {w: c * n for w, c in Counter(found).items()})
+    return words
+
+
 class Restorer:
-    """The character model and word counts of a bounded sample of texts."""
-
-    def __init__(self, texts: list[str], extra: list[str] = ()):
-        words: Counter[str] = Counter()
-        for t in texts:
-            low = tidy(t)
-            if not _SPACED.search(low):
-                words.update(w for w in _WORD.findall(low))
+    """The character model and word counts of some texts, or of the words counted beforehand."""
+
+    def __init__(self, texts: Iterable[str], extra: list[str] = (), counts: dict[str, int] | None = None):
+        words = word_counts(texts)
+        words.update(counts or {})
         words.update({w: 3 for x in extra for w in _WORD.findall(tidy(x))})
         self.words = {w: c for w, c in words.items() if c > 1 and not _TRIPLE.search(w)}
         three: Counter[str] = Counter()

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from emberglass.llm import abuse, mixing, pii, queries, repetition, restore, tokens
 from emberglass.llm.logistic import Logistic
@@ -260,6 +261,21 @@ def test_scores(spark):
     scored.unpersist()
 
 
+def test_dictionary_is_of_all_messages(spark):
+    n = 120_000
+    text = F.when(F.col("id").isin(77, n - 5), "the zephyrine hat").otherwise(F.concat(F.lit("level up the tower guild number "), "id"))
+    texts = spark.range(n).select("id", text.alias("text"))
+    nothing = [spark.createDataFrame([], s) for s in ("id long, category string", "term string, category string, weight int", "group_name string")]
+    assert abuse.fit(texts, *nothing).restorer.restore("z3phyr1n3") == "zephyrine"
+
+
+def test_dictionary_counts(spark):
+    said = ["one two", "one two", "one three", "f o u r one", None, "", "five"]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "id long, text string").repartition(3)
+    assert abuse.dictionary(texts) == {"one": 3, "two": 2}
+    assert abuse.dictionary(texts, 0.4) == {"one": 3} and abuse.dictionary(texts.limit(0)) == {}
+
+
 def test_scores_without_labels(spark):
     texts = spark.createDataFrame([(1, "you idiot")], "id long, text string")
     none = spark.createDataFrame([], "id long, category string")
