@@ -12,11 +12,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import cut
 
@@ -92,6 +94,23 @@ def _content(by_type: dict[type, list]) -> Iterator[tuple[str, int]]:
         yield from _sketch(outlines, "s")
 
 
+def _fits(by_type: dict[type, list]) -> Iterator[tuple[str, int]]:
+    """What a field's single values are, and what its texts could be cast to without loss, with their counts."""
+    size = lambda x: "int" if abs(x) <= 1 << 53 else "wide" if -(1 << 63) <= x < 1 << 63 else "huge"
+    for kind, held in by_type.items():
+        for value, n in Counter(held).items():
+            if kind is not str:
+                yield f"f:{'boolean' if kind is bool else 'float' if kind is float else size(value)}", n
+            elif value in ("true", "false"):
+                yield "f:text boolean", n
+            elif re.fullmatch("0|-?[1-9][0-9]{0,18}", value):
+                yield f"f:text {size(int(value))}", n
+            elif re.fullmatch("-?[0-9]{1,17}[.][0-9]{1,17}", value) and repr(float(value)) == value:
+                yield "f:text float", n
+            else:
+                yield "f:text", n
+
+
 def _items(value: list) -> Iterator[object]:
     """All values of a list and of the lists in it."""
     todo = [iter(value)]
@@ -123,11 +142,12 @@ def _leaves(obj: dict, at: str = "") -> Iterator[tuple[str, object]]:
                 yield f"{pre}{k}", v
 
 
-def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profile_batches(batches: Iterator[pa.RecordBatch], fits: bool = False) -> Iterator[pa.RecordBatch]:
     import json
 
     counts: Counter = Counter()
     content: dict[tuple, dict[type, list]] = {}
+    single: dict[tuple, dict[type, list]] = {}
     held = 0
 
     def flush() -> pa.RecordBatch:
@@ -135,11 +155,15 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for at, by_type in content.items():
             for f, n in _content(by_type):
                 counts[*at, f] += n
+        for at, by_type in single.items():
+            for f, n in _fits(by_type):
+                counts[*at, f] += n
         keys = list(counts)
         cols = [pa.array([k[i] for k in keys], type=_PROFILE.field(i).type) for i in range(5)]
         out = pa.RecordBatch.from_arrays([*cols, pa.array(list(counts.values()), type=pa.int64())], schema=_PROFILE)
         counts.clear()
         content.clear()
+        single.clear()
         held = 0
         return out
 
@@ -164,23 +188,25 @@ def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     by_type = content.setdefault(at, {})
                     for x in _items(value) if isinstance(value, list) else (value,):
                         by_type.setdefault(type(x), []).append(x)
+                    if fits and not isinstance(value, list):
+                        single.setdefault(at, {}).setdefault(type(value), []).append(value)
             held += len(text)
             if held >= HELD:
                 yield flush()
     yield flush()
 
 
-def profile(rows: DataFrame) -> DataFrame:
+def profile(rows: DataFrame, fits: bool = False) -> DataFrame:
     """``(dataset, producer, file_seq, path, feature, n)`` of ``rows(dataset, producer, file_seq, payload)``.
 
     Unreadable, empty and null payloads, and those that are no object, are no readable records.
     Feature ``r`` under the empty path counts readable records, ``p`` records with the key, ``t:`` a type's values;
     the others are content: ``l:`` and ``m:`` in few classes, ``v:`` and ``s:`` the sketches of values and outlines with ``v#`` and
-    ``s#`` the counts of all. Rows without a dataset, producer or file belong to no file and are left out; extra columns
+    ``s#`` the counts of all; with ``fits`` also ``f:``, what the values can be cast to without loss. Rows without a dataset, producer or file belong to no file and are left out; extra columns
     are ignored.
     """
     names = rows.where("dataset is not null and producer is not null and file_seq is not null").select("dataset", "producer", F.col("file_seq").cast("bigint").alias("file_seq"), "payload")
-    counted = names.mapInArrow(_profile_batches, "dataset string, producer string, file_seq bigint, path string, feature string, n bigint")
+    counted = names.mapInArrow(partial(_profile_batches, fits=fits), "dataset string, producer string, file_seq bigint, path string, feature string, n bigint")
     # all features of a field come together, so that its parts' sketches are merged and cut to size in one shuffle
     added = counted.repartition(*_FIELD).groupBy(*_FIELD, "feature").agg(F.sum("n").alias("n"))
     own = Window.partitionBy(*_FIELD, F.substring("feature", 1, 2))
@@ -370,49 +396,134 @@ def aliases(profiled: DataFrame, renames: DataFrame) -> DataFrame:
     """The alias table ``(dataset, field, column, kind)``: every path a dataset ever had, the column it belongs to, and its type.
 
     Paths that were renamed into one another form one column, named after the path most records hold (ties by name). Its kind is
-    the common one, string where kinds differ.
+    one that every value of it can be cast to without loss, be it a single value of a single record; else it is string. Texts
+    alone stay string. ``profiled`` must have been made with ``fits``.
     """
     from .components import components
 
     held = profiled.where("path <> '' and feature = 'p'").groupBy("dataset", "path").agg(F.sum("n").alias("held"))
-    kinds = profiled.where("path <> '' and feature like 't:%' and feature <> 't:null'").groupBy("dataset", "path", F.substring("feature", 3, 20).alias("kind")).agg(F.sum("n").alias("n"))
+    kinds = profiled.where("path <> '' and (feature like 'f:%' or feature = 't:array')").select("dataset", "path", "feature").distinct()
     name = lambda c: F.concat_ws("\x1f", "dataset", c)
     comp = components(renames.where("change_kind = 'renamed'").select(name("field_path").alias("u"), name("new_path").alias("v")))
     fields = held.withColumn("node", name("path")).join(comp, "node", "left").withColumn("group", F.coalesce("rep", "node"))
     best = fields.groupBy("dataset", "group").agg(F.max_by("path", F.struct("held", "path")).alias("column"))
     of = fields.join(best, ["dataset", "group"]).select("dataset", F.col("path").alias("field"), "column")
-    # a type seen in under a tenth of a column's values is noise, not a type
-    per = kinds.join(of.withColumnRenamed("field", "path"), ["dataset", "path"]).groupBy("dataset", "column", "kind").agg(F.sum("n").alias("n"))
-    share = per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("dataset", "column"))).where("share >= 0.1")
-    typed = share.groupBy("dataset", "column").agg(F.when(F.count("*") == 1, F.first("kind")).otherwise("string").alias("kind"))
+    features = kinds.join(of.withColumnRenamed("field", "path"), ["dataset", "path"]).groupBy("dataset", "column").agg(F.collect_set("feature").alias("has"))
+    names = lambda fs: F.array(*[F.lit(f) for f in fs])
+    kind = F.coalesce(*[F.when(F.arrays_overlap("has", names(own)) & (F.size(F.array_except("has", names([*own, *texts]))) == 0), k) for k, own, texts in _CASTS])
+    typed = features.select("dataset", "column", kind.alias("kind"))
     return of.join(typed, ["dataset", "column"], "left").select("dataset", "field", "column", F.coalesce("kind", F.lit("string")).alias("kind"))
 
 
-_SQL = {"string": "string", "number": "double", "boolean": "boolean", "array": "string"}
+#: Kinds of columns: one of the first features must be there, and none but they and the second.
+_CASTS = (
+    ("boolean", ["f:boolean"], ["f:text boolean"]),
+    ("integer", ["f:int", "f:wide"], ["f:text int", "f:text wide"]),
+    ("number", ["f:int", "f:float"], ["f:text int", "f:text float"]),
+    ("array", ["t:array"], []),
+)
+_SQL = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "array": T.StringType()}
+#: Cells of the table that are made at once.
+CELLS = 2_000_000
+
+
+def _cast(value: object, kind: str) -> object:
+    """A value in its column's kind; ValueError where it does not fit."""
+    import json
+
+    text = isinstance(value, str)
+    if kind in ("string", "array"):
+        return value if text and kind == "string" else json.dumps(value, ensure_ascii=False)
+    ((fit, _),) = [] if isinstance(value, list) else _fits({type(value): [value]})
+    if not any(k == kind and fit in own + texts for k, own, texts in _CASTS):
+        raise ValueError(value)
+    return value in (True, "true") if kind == "boolean" else int(value) if kind == "integer" else float(value)
+
+
+def _table_batches(batches: Iterator[pa.RecordBatch], kinds: list[str], place: dict[str, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Columns before the last one, the payload, pass through; ``place`` has each path's column and its rank there."""
+    import json
+
+    arrow = {"integer": pa.int64(), "number": pa.float64(), "boolean": pa.bool_()}
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        columns: list[list] = [[None] * n for _ in kinds]
+        rest: list[str | None] = [None] * n
+        for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            try:
+                obj = json.loads(text) if text else None
+            except (ValueError, RecursionError):
+                obj = None
+            if not isinstance(obj, dict):
+                rest[i] = text
+                continue
+            ranks: dict[int, tuple[int, str, object]] = {}
+            left: dict[str, list] = {}
+            for path, value in _leaves(obj):
+                if value is None:
+                    continue
+                at, rank = place.get(path, (-1, 0))
+                try:
+                    cast = _cast(value, kinds[at]) if at >= 0 else None
+                except ValueError:
+                    at = -1
+                if at < 0:
+                    left.setdefault(path, []).append(value)
+                    continue
+                before = ranks.get(at)
+                if before is None or rank < before[0]:
+                    if before is not None and columns[at][i] != cast:
+                        left.setdefault(before[1], []).append(before[2])
+                    ranks[at] = (rank, path, value)
+                    columns[at][i] = cast
+                elif columns[at][i] != cast:
+                    left.setdefault(path, []).append(value)
+            if left:
+                rest[i] = json.dumps(left, ensure_ascii=False)
+        made = [pa.array([x.encode("utf-8", "backslashreplace").decode() if x is not None and not x.isascii() else x for x in c], pa.string()) if k not in arrow else pa.array(c, arrow[k]) for c, k in zip([*columns, rest], [*kinds, "string"], strict=True)]
+        names = [str(i) for i in range(batch.num_columns + len(kinds))]
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *made], names=names)
+
+    step = max(1, CELLS // (len(kinds) + 1))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield part(batch.slice(at, step))
 
 
 def consistent_table(rows: DataFrame, keep: list[str], most: int = 5000) -> tuple[DataFrame, DataFrame]:
     """All payloads of one dataset as one table with a column per field, and the casts ``(dataset, field, column, kind)`` it was made with.
 
-    ``rows(dataset, producer, file_seq, payload, …)``; the columns in ``keep`` pass through. A value that does not fit its column's
-    kind becomes null, arrays are JSON text; an unreadable payload gives a row of nulls, so no row is lost. The number of
+    ``rows(dataset, producer, file_seq, payload, …)``; the columns in ``keep`` pass through. No row and no value is lost: arrays
+    are JSON text, a column is of a narrower kind than string only where every value fits, and ``unplaced`` has as JSON, by path,
+    what another value stands for in its column, or what belongs to no file and does not fit; of a payload that is no readable
+    object it has the text. Names that differ in case only, or are taken by ``keep``, get a ``_``. The number of
     columns is that of the catalogue, which is checked against ``most``.
     """
-    profiled = cut(profile(rows))
-    table = cut(aliases(profiled, changes(profiled)))
-    casts = table.select("field", "column", "kind").distinct().limit(most + 1).collect()
-    if len(casts) > most:
+    profiled = cut(profile(rows, fits=True))
+    found = aliases(profiled, changes(profiled)).distinct().limit(most + 1).collect()
+    if len(found) > most:
         raise ValueError(f"more than {most} fields")
-    groups: dict[str, list] = {}
-    for r in casts:
-        groups.setdefault(r["column"], []).append(r)
-    data = F.call_function("try_parse_json", F.col("payload"))
-    path = lambda f: "$" + "".join(f"['{p}']" for p in f.split("."))
-    columns = []
-    for name, fields in sorted(groups.items()):
-        kind = _SQL[fields[0]["kind"]] if fields[0]["kind"] in _SQL else "string"
-        order = sorted(fields, key=lambda r: r["field"] != name)
-        texts = [F.try_variant_get(data, path(r["field"]), "string" if r["kind"] != "array" else "variant") for r in order if "'" not in r["field"]]
-        value = F.coalesce(*[F.to_json(t) if r["kind"] == "array" else t for t, r in zip(texts, order, strict=False)]) if texts else F.lit(None).cast("string")
-        columns.append((value if kind == "string" else value.try_cast(kind)).alias(name if name not in keep else f"{name}_"))
-    return rows.select(*keep, *columns), table
+    taken = {c.lower() for c in [*keep, "unplaced"]}
+    names: dict[str, str] = {}
+    kinds: dict[str, str] = {}
+    for r in sorted(found, key=lambda r: (r["column"], r["field"])):
+        if r["column"] not in names:
+            name = r["column"]
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            names[r["column"]], kinds[r["column"]] = name, r["kind"]
+    order = list(names)
+    ranked = sorted(found, key=lambda r: (r["field"] != r["column"], r["field"]))
+    place = {r["field"]: (order.index(r["column"]), i) for i, r in enumerate(ranked)}
+    columns = [T.StructField(names[c], _SQL[kinds[c]]) for c in order]
+    source = rows.select(*keep, "payload")
+    schema = T.StructType([*source.schema.fields[:-1], *columns, T.StructField("unplaced", T.StringType())])
+    table = source.mapInArrow(partial(_table_batches, kinds=[kinds[c] for c in order], place=place), _numbered(schema)).toDF(*schema.names)
+    casts = rows.sparkSession.createDataFrame([(r["dataset"], r["field"], names[r["column"]], r["kind"]) for r in ranked], "dataset string, field string, column string, kind string")
+    return table, casts
+
+
+def _numbered(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(str(i), f.dataType) for i, f in enumerate(schema.fields)])

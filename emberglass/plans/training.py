@@ -105,12 +105,28 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(drift_profile(spark, sf_dir))
 
 
+def _consistent(spark: SparkSession, sf_dir: str, name: str, payload: str) -> DataFrame:
+    t = table(spark, sf_dir, name)
+    keep = [c for c in t.columns if c != payload]
+    return drift.consistent_table(t.withColumns({"dataset": F.lit(name), "payload": F.col(payload)}), keep)[0]
+
+
+def p5_table_action_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request with a column per field its payloads ever had."""
+    return _consistent(spark, sf_dir, "action_requests", "action_data_json")
+
+
+def p5_table_stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored result with a column per field its payloads ever had."""
+    return _consistent(spark, sf_dir, "stored_results", "extracted_features")
+
+
 def drift_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda t, c: drift.profile(table(spark, sf_dir, t).select(F.lit(t).alias("dataset"), "producer", "file_seq", F.col(c).alias("payload")))
     return one("action_requests", "action_data_json").unionByName(one("stored_results", "extracted_features"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_features": p2_features, "p2_long": p2_long, "p4_found": p4_found, "p4_sessions": p4_sessions, "p5_found": p5_found, "p6_found": p6_found, "p6_counts": p6_counts}
+QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_features": p2_features, "p2_long": p2_long, "p4_found": p4_found, "p4_sessions": p4_sessions, "p5_found": p5_found, "p5_table_action_requests": p5_table_action_requests, "p5_table_stored_results": p5_table_stored_results, "p6_found": p6_found, "p6_counts": p6_counts}
 
 _USER = "nullif(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 _TIME = """case when regexp_full_match(s, '[0-9]{13}') then try_cast(s as bigint) * 1000

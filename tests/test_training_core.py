@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberglass.functions.text import readable_object, send_time_us, type_key, user_key, whole_number_key
 from emberglass.operators import dedup, drift, features, lateness, sessions
 from emberglass.operators.components import components
+from emberglass.plans import training
 
 DELIVERY = "delivery_id long, batch_id string, subscription string, ack_id long, action_id string, raw_message string, received_at timestamp_ntz, salt string, node string"
 T0 = datetime(2022, 6, 6)
@@ -268,6 +269,44 @@ def test_consistent_table(spark):
     assert {(r.field, r.column) for r in casts.collect()} >= {("user_id", "userId"), ("userId", "userId")}
 
 
+def test_consistent_table_loses_no_value(spark):
+    import json
+
+    many = [{"n": 7, "on": True, "it's": 1, "Case": "a", "case": "b", "list": [1, "x"], "wide": 2**60, "id": "001"}] * 40
+    few = [{"n": "x"}, {"n": 1.5, "on": "false", "a.b": 3, "a": {"b": 4}, "wide": "12"}, {"list": "plain"}, {"id": 5}]
+    files = {1: many, 2: [{**many[0], **x} for x in few] + many + ['{"cut', None]}
+    df = spark.createDataFrame(drift_rows(files), DRIFT).withColumn("id", F.lit(9))
+    table, casts = drift.consistent_table(df, ["id", "file_seq"])
+    rows = [r.asDict() for r in table.collect()]
+    assert len(rows) == 86 and dict(table.dtypes)["on"] == "boolean" and dict(table.dtypes)["wide"] == "bigint" and dict(table.dtypes)["it's"] == "bigint"
+    assert {r["n"] for r in rows} == {"7", "x", "1.5", None} and {r["on"] for r in rows} == {True, False, None} and {r["it's"] for r in rows} == {1, None}
+    assert {r["list"] for r in rows} == {'[1, "x"]', "plain", None} and {r["wide"] for r in rows} == {2**60, 12, None} and {r["id_"] for r in rows} == {"001", "5", None}
+    assert {(r["Case"], r["case_"]) for r in rows} == {("a", "b"), (None, None)}
+    rest = [r["unplaced"] for r in rows if r["unplaced"]]
+    assert '{"cut' in rest and [r["a.b"] for r in rows if r["a.b"]] + [x for r in rest if r != '{"cut' for x in json.loads(r)["a.b"]] in ([3, 4], [4, 3])
+    assert ("case", "case_") in {(r.field, r.column) for r in casts.collect()}
+
+
+@pytest.mark.parametrize("name, payload", [("action_requests", "action_data_json"), ("stored_results", "extracted_features")])
+def test_consistent_tables_hold_every_value(spark, data, name, payload):
+    import json
+
+    source = [r.asDict() for r in spark.read.parquet(f"{data}/{name}.parquet").collect()]
+    table = training.QUERIES[f"p5_table_{name}"](spark, data)
+    assert table.count() == len(source)
+
+    def values(r):
+        try:
+            obj = json.loads(r[payload] or "")
+            return sum(v is not None for _, v in drift._leaves(obj)) if isinstance(obj, dict) else 0
+        except ValueError:
+            return 0
+
+    columns = table.columns[len(source[0]) - 1 : -1]
+    held = sum(r[c] is not None for r in (r.asDict() for r in table.collect()) for c in columns)
+    assert held == sum(map(values, source)) > 0
+
+
 def test_name_likeness():
     assert drift.name_likeness("client.ipAddress", "IPAddress") == 1.0
     assert drift.name_likeness("followers", "follower_count") == 1.0
