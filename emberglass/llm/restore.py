@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable
+from itertools import product
 
 #: What a character may stand for, besides itself. Fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "¢": "c", "&": "a"}
@@ -25,7 +26,8 @@ _ONE = r"(?:[^\W_]|[@$!*#])"
 _SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_]['’]){_ONE}([ .\-_·•*~]{{1,2}}){_ONE}(?:\1{_ONE})+(?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _PLAIN_WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-_KEEP = re.compile(r"(?:user_?\d+|[\d.,:/%+\-]+|@[\w.\-]+|[\w.\-]+@[\w.\-]+|[^\W\d_]+\d{1,4}|\w+_\w+)", re.I)
+_KEEP = re.compile(r"(?:user_?\d+|[\d.,:/%+\-]+|[\w.\-]+@[\w\-]+\.[\w.\-]+)", re.I)
+_NUMBERED = re.compile(r"([^\W\d_]+)(\d{1,4})")
 _BLANK = re.compile(r"(\s+)")
 _TRIPLE = re.compile(r"(.)\1\1")
 _MAY_SPACE = re.compile(r"(?<![^\W_])[^\W_][ .\-_·•*~]{1,2}[^\W_][ .\-_·•*~]")
@@ -66,6 +68,7 @@ class Restorer:
         words.update(counts or {})
         words.update({w: 3 for x in extra for w in _WORD.findall(tidy(x))})
         self.words = {w: c for w, c in words.items() if c > 1 and not _TRIPLE.search(w)}
+        self.longest = max(map(len, self.words), default=0)
         three: Counter[str] = Counter()
         two: Counter[str] = Counter()
         for w, c in self.words.items():
@@ -117,7 +120,10 @@ class Restorer:
                     key = (state[1] + letter if letter else state, t[-12:])
                     if key not in new or new[key][0] < s:
                         new[key] = (s, t)
-            beam = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
+            # what is longer than every known word comes to nothing; so long a word costs no more than its length
+            beam = dict(sorted(((k, x) for k, x in new.items() if len(x[1]) <= self.longest), key=lambda x: -x[1][0])[:BEAM])
+            if not beam:
+                return written
         ends = [(s + self._step(k[0], "$") + (6.0 + 0.4 * math.log(self.words[t]) if t in self.words else 0.0), t) for k, (s, t) in beam.items()]
         return max(ends)[1] if ends else written
 
@@ -135,6 +141,11 @@ class Restorer:
             self.seen[written] = hit
         return hit
 
+    def _numbered(self, letters: str, digits: str) -> str | None:
+        """The commonest known word of letters with every digit behind them read as one, as names with a number are many."""
+        found = [w for w in ("".join([letters, *x]) for x in product(*[LEET.get(d, "") for d in digits])) if len(w) > 2 and w in self.words]
+        return max(found, key=lambda w: (self.words[w], w)) if found else None
+
     def _joined(self, m: re.Match) -> str:
         """Single letters put together again; a first letter that is a word of its own stays apart."""
         w = re.sub(r"[ .\-_·•~]", "", m[0])
@@ -151,8 +162,11 @@ class Restorer:
         head, body, tail = (ends[1], ends[2], ends[3]) if ends else ("", w, "")
         if _PLAIN_WORD.fullmatch(body):
             return head + self.word(body) + tail if _TRIPLE.search(body) else w
-        if _KEEP.fullmatch(body) or not any(c.isalpha() for c in body) or "..." in body or len(body) > 40:
+        if _KEEP.fullmatch(body) or not any(c.isalpha() for c in body) or "..." in body:
             return w
+        numbered = None if _TRIPLE.search(body) else _NUMBERED.fullmatch(body)
+        if numbered:
+            return head + (self._numbered(*numbered.groups()) or body) + tail
         found = self.word(body)
         if found == body and tail[:1] in ("!", "*", "$", "@") and self.word(body + tail[0]) != body + tail[0]:
             return head + self.word(body + tail[0]) + tail[1:]

@@ -229,6 +229,14 @@ def test_restoring(restorer, written, plain):
     assert restorer.restore(written) == plain
 
 
+@pytest.mark.parametrize(
+    "written, plain",
+    [("nud35", "nudes"), ("dumb455!", "dumbass!"), ("tr@sh", "trash"), ("@ss", "ass"), ("id_iot", "idiot"), ("i" + "d" * 60 + "iot", "idiot"), ("-._".join("imbec1le") + "." * 2, "imbecile.."), ("n" + "-" * 50 + "4ked", "naked"), ("idiot2, nude22", "idiot2, nude22"), ("a.b@trash.example @mod user_355", "a.b@trash.example @mod user_355"), ("xk3" * 50_000, "xk3" * 50_000)],
+)
+def test_restoring_odd_tokens(written, plain):
+    assert restore.Restorer(WORDS + ["nudes dumbass trash ass idiot"] * 3).restore(written) == plain
+
+
 def labelled(n=600, seed=3):
     rng = random.Random(seed)
     calm = ["thanks for the invite", "who broke the bot?", "can a mod look at patch notes please", "feel like an idiot, i forgot my password", "the word vermin is on our block list", "kill the process before you restart", "proud of our Ostrani members, great raid"]
