@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,13 @@ def investigation(spark: SparkSession, sf_dir: str, text: str = "", **more) -> Q
     return Query(feature_table(spark, sf_dir), TYPES, START, END, text, entity_types=ENTITY_TYPES, **more)
 
 
+def whole(spark: SparkSession, sf_dir: str, text: str = "", **more) -> Query:
+    """An investigation over the whole span of the table."""
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    start, end = (first, last + timedelta(microseconds=1)) if first else (START, START)
+    return Query(feature_table(spark, sf_dir), TYPES, start, end, text, entity_types=ENTITY_TYPES, **more)
+
+
 def _add(name: str, build, sql: str | None = None) -> None:
     QUERIES[name] = build
     if sql:
@@ -96,6 +103,10 @@ _add(
     lambda s, d: investigation(s, d, entity=("User", 7)).timeseries("day", ["UserId", "K"], zero_fill=False),
     _T + f"""select date_trunc('day', "__time")::timestamp as bucket, count(*) as count, count(*) filter ("UserId" = 7) as "UserId", count(*) filter ("K" = 7) as "K" from t where "UserId" = 7 and {_SPAN} group by 1""",
 )
+# the same over all events
+_add("q_whole_timeseries_day", lambda s, d: whole(s, d).timeseries("day", zero_fill=False), _T + """select date_trunc('day', "__time")::timestamp as bucket, count(*) as count from t where "__time" is not null group by 1""")
+_add("q_whole_topn_users", lambda s, d: whole(s, d).topn("UserId", 20), _T + 'select "UserId" as dimension, count(*) as count from t where "__time" is not null group by 1 order by 2 desc, 1 limit 20')
+_add("q_whole_cardinality_exact", lambda s, d: whole(s, d).cardinality("UserId", exact=True), _T + 'select count(distinct "UserId") as cardinality from t where "__time" is not null')
 _add("q_scan_asc", lambda s, d: investigation(s, d).scan(100, ascending=True), _T + f'select "__action_id", "__time" from t where {_SPAN} order by "__time", "__action_id" limit 101')
 _add("q_scan_desc", lambda s, d: investigation(s, d).scan(100), _T + f'select "__action_id", "__time" from t where {_SPAN} order by "__time" desc, "__action_id" desc limit 101')
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from emberglass.lang.lower import compile_rules
 from emberglass.lang.values import FLOAT, INT, STR, RuleError, Ty
 from emberglass.operators import labels
-from emberglass.plans import catalogue
+from emberglass.plans import catalogue, rules
 from emberglass.plans.investigate import Ability, Predicate, Query, censor_json, granularity_for, latency_stats, results_by_id, validate
 from emberglass.sources import actions
 from emberglass.streaming import engine, late
@@ -97,6 +97,15 @@ def test_counts(spark):
     assert query(spark, ability=Ability("v", allow_all=True)).rows().count() == 51
 
 
+def test_whole_span_queries_read_all_events(spark, data):
+    table = spark.read.parquet(f"{data}/events.parquet")
+    run = lambda name: rules.QUERIES[name](spark, data).collect()
+    assert sum(r["count"] for r in run("q_whole_timeseries_day")) == table.where("ts is not null").count()
+    assert run("q_whole_cardinality_exact")[0]["cardinality"] == table.select("user_id").distinct().count()
+    most = table.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").limit(20).collect()
+    assert [(r["dimension"], r["count"]) for r in run("q_whole_topn_users")] == [(r["user_id"], r["count"]) for r in most]
+
+
 def test_granularity():
     day = datetime(2024, 1, 1)
     assert granularity_for(day, day + timedelta(days=365)) == "month" and granularity_for(day, day + timedelta(hours=10)) == "hour" and granularity_for(day, day + timedelta(minutes=3)) == "minute"
