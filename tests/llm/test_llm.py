@@ -111,6 +111,20 @@ def test_proposals_lose_no_document(spark, data):
     assert {r.doc_id for r in queries.p10_found(spark, data).collect()} == {i for i, r in shares.items() if r.repeated_share >= repetition.LIMIT}
 
 
+def test_short_phrases_are_proposed_in_documents_of_any_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = repetition.fit(docs)
+    rng = random.Random(7)
+    fresh = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    for n in (20, 200, 2_000, 50_000):  # five-word phrases said twice, apart, among words said once
+        phrases = [[fresh() for _ in range(5)] for _ in range(-(-32 * n // 500))]
+        parts = [p for p in phrases for _ in (0, 1)] + [[fresh()] for _ in range(n - 10 * len(phrases))]
+        rng.shuffle(parts)
+        words = [w for p in parts for w in p]
+        assert repetition.LIMIT <= repetition.repeated_share(words) < 0.51
+        assert model.probability(np.array([repetition.features(" ".join(words), words)]))[0] > repetition.PROPOSE
+
+
 def test_logistic_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 3))
