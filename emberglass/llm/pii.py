@@ -164,6 +164,17 @@ def _identities(t: str, low: str) -> Iterator[Span]:
         yield Span("identity_number", m.start("value"), m.start("value") + len(value), score)
 
 
+_BARE = re.compile(r"(?<![\p{L}\p{N}_.+\-,/$#])(?:(?P<eleven>\d{3}\.\d{3}\.\d{3}-\d{2})|(?P<letter>\d{8}-?[A-Z]))(?![\p{L}\p{N}_]|[.,:\-/]\d)")
+
+
+def _bare_identities(t: str) -> Iterator[Span]:
+    """Numbers without a label word, of a shape of their own: here the check digits or letter decide."""
+    for m in _BARE.finditer(t):
+        confirmed = _eleven(re.sub(r"\D", "", m[0])) if m["eleven"] else _letter(m[0])
+        score = 0.5 + 0.6 * confirmed - 1.5 * bool(_OTHER.search(t[max(0, m.start() - 28) : m.start()]))
+        yield Span("identity_number", m.start(), m.end(), score)
+
+
 # ---- phone ----
 _PHONE = re.compile(
     r"(?<![\p{L}\p{N}_.+\-,/$#])(?P<n>(?:\+|00)\s?\d{1,3}(?:[\s.\-/]?\(\d{1,4}\))?(?:[\s.\-/]?\d{1,6}){1,6}"
@@ -340,6 +351,8 @@ def find_in(text: str | None, names: Names) -> list[Span]:
         spans += _addresses(t, low)
         if digits >= 5 and any(w in low for w in _LABEL_WORDS):
             spans += _identities(t, low)
+        if digits >= 8:
+            spans += _bare_identities(t)
     spans += _phones(t, low, digits)
     spans += names.find(t, low)
     taken: list[Span] = []

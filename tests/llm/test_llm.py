@@ -209,6 +209,21 @@ def test_mentions(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("here 529.982.247-25 take it", ["529.982.247-25"]),
+        ("here 529.982.247-26 take it", []),
+        ("here 12345678Z take it", ["12345678Z"]),
+        ("here 12345678A take it", []),
+        ("ticket 12345678Z is open, build 529.982.247-25", []),
+        ("my dni is 12345678A", ["12345678A"]),
+    ],
+)
+def test_check_sums_decide_without_a_label(text, want):
+    assert [v for k, v in found(text) if k == "identity_number"] == want
+
+
 def test_checksums():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
     assert pii.mod97("3214282912345698765432161182") is True or pii.mod97("WEST12345698765432GB82")
