@@ -497,7 +497,7 @@ def consistent_table(rows: DataFrame, keep: list[str], most: int = 5000) -> tupl
     ``rows(dataset, producer, file_seq, payload, …)``; the columns in ``keep`` pass through. No row and no value is lost: arrays
     are JSON text, a column is of a narrower kind than string only where every value fits, and ``unplaced`` has as JSON, by path,
     what another value stands for in its column, or what belongs to no file and does not fit; of a payload that is no readable
-    object it has the text. Names that differ in case only, or are taken by ``keep``, get a ``_``. The number of
+    object it has the text. Names that differ in case only, or are taken by ``keep``, get a ``_``, which also stands for dots. The number of
     columns is that of the catalogue, which is checked against ``most``.
     """
     profiled = cut(profile(rows, fits=True))
@@ -509,7 +509,7 @@ def consistent_table(rows: DataFrame, keep: list[str], most: int = 5000) -> tupl
     kinds: dict[str, str] = {}
     for r in sorted(found, key=lambda r: (r["column"], r["field"])):
         if r["column"] not in names:
-            name = r["column"]
+            name = re.sub("[.`]", "_", r["column"])
             while name.lower() in taken:
                 name += "_"
             taken.add(name.lower())

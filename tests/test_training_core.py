@@ -283,7 +283,7 @@ def test_consistent_table_loses_no_value(spark):
     assert {r["list"] for r in rows} == {'[1, "x"]', "plain", None} and {r["wide"] for r in rows} == {2**60, 12, None} and {r["id_"] for r in rows} == {"001", "5", None}
     assert {(r["Case"], r["case_"]) for r in rows} == {("a", "b"), (None, None)}
     rest = [r["unplaced"] for r in rows if r["unplaced"]]
-    assert '{"cut' in rest and [r["a.b"] for r in rows if r["a.b"]] + [x for r in rest if r != '{"cut' for x in json.loads(r)["a.b"]] in ([3, 4], [4, 3])
+    assert '{"cut' in rest and [r["a_b"] for r in rows if r["a_b"]] + [x for r in rest if r != '{"cut' for x in json.loads(r)["a.b"]] in ([3, 4], [4, 3])
     assert ("case", "case_") in {(r.field, r.column) for r in casts.collect()}
 
 
