@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, hashed_sample
+from .logistic import _newton
 from .restore import Restorer, word_counts
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 _CLASSES = ("none", *CATEGORIES)
-#: Probability from which a category applies.
-LIMIT = 0.5
+#: Calibrated probability from which a category applies: above one half, as some labels are wrong and no model can be surer than they are.
+LIMIT = 0.55
 #: Most labelled messages the scorer is fitted on, those of the smallest hashes.
 FIT_LABELS = 30_000
 #: Share of all words from which a word is in the dictionary. Shares add up to 1, so it has at most 1 / LEAST_SHARE words.
@@ -30,7 +32,9 @@ _TOKEN = re.compile(r"@\w[\w.\-]*|user_?\d+|\d[\d.,:]*|[^\W\d_]+(?:['’][^\W\d_
 
 #: A message whose likeliest stretch for its category stays under the first has a wrong label and stands for nothing; so does one
 #: labelled none with a whole segment above the second.
-DOUBT, BELIEF = 0.5, 0.95
+DOUBT, BELIEF = 0.2, 0.95
+#: Share of the labelled messages that must hold a feature to be learned from, and their least number.
+LEAST, FEWEST = 1 / 1500, 3
 #: Words of a segment up to which it is one sentence, and so of one category.
 SENTENCE = 14
 #: Words in the windows that are scored beside whole segments, as sentences may follow each other without a mark.
@@ -40,8 +44,6 @@ WINDOWS = (5, 8, 12)
 class Scorer:
     """Softmax regression on word n-grams of segments and their windows, fitted from labelled messages whose labels may be wrong."""
 
-    LEAST = 3
-
     def __init__(self, restorer: Restorer, terms: list[tuple[str, str, int]], groups: list[str]):
         self.restorer = restorer
         self.terms = {t.lower(): f"#{c}{w}" for t, c, w in terms if t}
@@ -51,6 +53,7 @@ class Scorer:
         self.weights = np.zeros((1, len(_CLASSES)))
         self.bias = np.zeros(len(_CLASSES))
         self.fitted = False
+        self.calibration = np.array([[1.0, 0.0]] * len(CATEGORIES))
         self.seen: dict[str, np.ndarray] = {}
 
     def segments(self, text: str) -> list[str]:
@@ -108,11 +111,14 @@ class Scorer:
 
     def probabilities(self, segments: list[str]) -> np.ndarray:
         """Per segment the highest probability of each category over itself and its windows, categories in stretches apart."""
-        if not segments:
-            return np.zeros((0, len(CATEGORIES)))
-        seg, a, b, p = self.spans([self.grams(s) for s in segments])
+        return self._best([self.grams(s) for s in segments])
+
+    def _best(self, grams: list[np.ndarray]) -> np.ndarray:
+        n, best = len(grams), np.zeros((len(grams), len(CATEGORIES)))
+        if not n:
+            return best
+        seg, a, b, p = self.spans(grams)
         p = p[:, 1:]
-        n, best = len(segments), np.zeros((len(segments), len(CATEGORIES)))
         free = np.ones(len(seg), dtype=bool)
         left = np.ones((n, len(CATEGORIES)), dtype=bool)
         for _ in CATEGORIES:  # the likeliest category takes its shortest stretch; the next must be found outside it
@@ -147,28 +153,39 @@ class Scorer:
         for i, segs in enumerate(parts):
             for s in segs:
                 np.maximum(out[i], self.seen[s], out=out[i])
-        return out
-
-    def _train(self, bags: list[np.ndarray], y: np.ndarray, ridge: float, steps: int = 120) -> None:
-        rows = np.repeat(np.arange(len(bags)), [len(i) for i in bags])
-        flat = np.concatenate(bags) if len(rows) else np.empty(0, dtype=np.int64)
-        used, cols = np.unique(flat, return_inverse=True)
-        n, k = len(bags), len(_CLASSES)
-        aim = np.eye(k)[y]
-        w, b = np.zeros((len(used), k)), np.log(aim.mean(axis=0) + 1e-3)
+        return self._calibrated(out)
+
+    def _calibrated(self, p: np.ndarray) -> np.ndarray:
+        """Of messages' highest probabilities, what they are worth by messages the model has not seen; 0 stays 0."""
+        z = np.clip(_logit(p) * self.calibration[:, 0] + self.calibration[:, 1], -30, 30)
+        return np.where(p > 0, 1 / (1 + np.exp(-z)), 0.0)
+
+    def _train(self, bags: list[np.ndarray], y: np.ndarray, ridge: float, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and bias, from zero or carried on from those of the round before."""
+        full = [i for i, bag in enumerate(bags) if len(bag)]
+        bags, y = [bags[i] for i in full], y[full]
+        k = len(_CLASSES)
+        if not bags:
+            return np.zeros((len(self.number) + 1, k)), np.zeros(k)
+        sizes = np.array([len(i) for i in bags])
+        rows, first = np.repeat(np.arange(len(bags)), sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        used, cols, often = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+        by_col = rows[np.argsort(cols, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(often)[:-1]])
+        aim = np.eye(k, dtype=np.float32)[y]
+        w, b = (start[0][used].astype(np.float32), start[1].astype(np.float32)) if start else (np.zeros((len(used), k), dtype=np.float32), np.log(aim.mean(axis=0) + 1e-3))
         gw, gb = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
-        for _ in range(steps):  # Adagrad over all rows at once
-            z = np.stack([np.bincount(rows, w[cols, c], n) for c in range(k)], axis=1) + b
-            d = self._soft(z) - aim
-            g = np.stack([np.bincount(cols, d[rows, c], len(used)) for c in range(k)], axis=1) + ridge * w
+        for _ in range(60 if start else 120):  # Adagrad over all rows at once
+            d = self._soft(np.add.reduceat(w.take(cols, axis=0), first, axis=0) + b) - aim
+            g = np.add.reduceat(d.take(by_col, axis=0), begin, axis=0) + ridge * w
             gw += g * g
             gb += d.sum(axis=0) ** 2
             w -= 0.5 * g / np.sqrt(gw)
             b -= 0.5 * d.sum(axis=0) / np.sqrt(gb)
-        self.weights = np.zeros((len(self.number) + 1, k))
-        self.weights[used] = w
-        self.weights[0] = 0
-        self.bias = b
+        weights = np.zeros((len(self.number) + 1, k))
+        weights[used] = w
+        weights[0] = 0
+        return weights, b
 
     @staticmethod
     def _bag(g: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -212,7 +229,9 @@ class Scorer:
         segment or window; messages labelled none count with all their segments and with the windows most wrongly taken for each
         category, and the segment that earned another label with the window most wrongly taken for a third. What stands for a
         message, and whether its label is believed at all (``DOUBT``, ``BELIEF``), is judged by a model that has not seen it:
-        each half of the messages by the model of the other. Rows without a known category are left out.
+        each half of the messages by the model of the other. The scorer is the mean of the two, so that what one half has by wrong
+        labels counts half; its probabilities are calibrated on the messages each has not seen. Rows without a known category are
+        left out.
         """
         number = {c: i for i, c in enumerate(_CLASSES)}
         texts = [(self.segments(t), number[c]) for t, c in rows if t and c in number]
@@ -222,26 +241,49 @@ class Scorer:
         own = np.array([k for k, (segs, _) in enumerate(texts) for _ in segs])
         grams = [self.grams(s, learn=True) for segs, _ in texts for s in segs]
         count = np.bincount(np.concatenate([np.unique(g) for g in grams]), minlength=len(self.number) + 1)
-        common = np.where(count >= self.LEAST, np.arange(len(count)), 0)  # what stands in a few segments only is not learned from
+        common = np.where(count >= max(FEWEST, LEAST * len(texts)), np.arange(len(count)), 0)  # what stands in a few segments only is not learned from
         grams = [common[g] for g in grams]
         label = np.array([texts[k][1] for k in own])
         whole = [self._bag(g, 0, len(g)) for g in grams]
         halves = [np.flatnonzero(own % 2 == k) for k in (0, 1)]
         pick = lambda xs, at: [xs[i] for i in at]
         bags = [(pick(whole, h), label[h].tolist()) for h in halves]
-        for _ in range(rounds - 1):
-            models = []
-            for b, y in bags:
-                self._train(b, np.array(y, dtype=np.int64), ridge) if b else None
-                models.append((self.weights, self.bias))
-            for k, h in enumerate(halves):
+        models: list = [None, None]
+        for n in range(rounds):
+            models = [self._train(b, np.array(y, dtype=np.int64), ridge, m) for (b, y), m in zip(bags, models, strict=True)]
+            for k, h in enumerate(halves if n < rounds - 1 else ()):
                 self.weights, self.bias = models[1 - k]
                 bags[k] = self._chosen(pick(grams, h), pick(whole, h), label[h], own[h]) if len(h) else ([], [])
-        self._train(bags[0][0] + bags[1][0], np.array(bags[0][1] + bags[1][1], dtype=np.int64), ridge)
+        high = np.zeros((len(texts), len(CATEGORIES)))
+        for k in (0, 1):
+            self.weights, self.bias = models[1 - k]
+            np.maximum.at(high, own[halves[k]], self._best(pick(grams, halves[k])))
+        self.weights, self.bias = (models[0][0] + models[1][0]) / 2, (models[0][1] + models[1][1]) / 2
+        labels = np.array([y for _, y in texts])
+        for c in range(len(CATEGORIES)):
+            of = (labels == c + 1) | (labels == 0)  # a message of another label may be of this category as well
+            if len(set(labels[of])) == 2:
+                self.calibration[c] = _platt(_logit(high[of, c]), labels[of] == c + 1)
         self.fitted, self.seen = True, {}
         return self
 
 
+def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make probabilities of logits; the slope is at most 1, as it is to take back certainty, not to add any."""
+    slope, shift = _newton(z[:, None], y.astype(float), np.ones(len(z)), 1e-3)
+    if slope > 1:
+        low, high = -30.0, 30.0
+        for _ in range(50):
+            shift = (low + high) / 2
+            low, high = (shift, high) if (1 / (1 + np.exp(-np.clip(z + shift, -30, 30)))).mean() < y.mean() else (low, shift)
+    return float(np.clip(slope, 1e-3, 1.0)), float(shift)
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
 def _bounded(df: DataFrame, most: int, what: str) -> list:
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
@@ -262,6 +304,11 @@ def dictionary(texts: DataFrame, share: float = LEAST_SHARE) -> dict[str, int]:
     return {r["word"]: r["n"] for r in counted.where((F.col("n") > 1) & (F.col("n") >= share * total)).collect()}
 
 
+def lexicon(rows: Iterable[tuple[str, str]]) -> list[str]:
+    """Words of at least three messages that are labelled with a category: those whose misspellings are looked for."""
+    return [w for w, n in Counter(w for t, c in rows if c in CATEGORIES for w in set(word_counts([t]))).items() if n >= FEWEST]
+
+
 def fit(texts: DataFrame, labels: DataFrame, terms: DataFrame, groups: DataFrame, label_rows: int = FIT_LABELS) -> Scorer:
     """The scorer, fitted on the driver from at most ``label_rows`` labelled messages, by hash of id, and the words of all messages."""
     known = [(r["term"], r["category"], r["weight"]) for r in _bounded(terms.where("term is not null"), MOST_TERMS, "terms")]
@@ -271,7 +318,7 @@ def fit(texts: DataFrame, labels: DataFrame, terms: DataFrame, groups: DataFrame
     one = texts.where("text is not null and text <> ''").select("id", "text")
     # the labels are at most label_rows ids, so they are broadcast and no message is shuffled for them
     labelled = one.join(F.broadcast(some), "id").groupBy("id", "category").agg(F.min("text").alias("text")).orderBy("id", "category").collect()
-    restorer = Restorer([], [t for t, _, _ in known] + names, dictionary(one))
+    restorer = Restorer([], [t for t, _, _ in known] + names, dictionary(one), lexicon((r["text"], r["category"]) for r in labelled))
     return Scorer(restorer, known, names).fit([(r["text"], r["category"]) for r in labelled])
 
 

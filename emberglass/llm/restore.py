@@ -1,8 +1,8 @@
 """Undoing deliberate misspelling: the likeliest plain word behind leetspeak, masking, spacing and repetition.
 
 A disguised word is a lattice: each written character may stand for some letters, or for none. The best path under a
-character trigram model, with a bonus for words the corpus has, is the restored word (a Viterbi search, with the last
-two letters as state and a beam).
+character trigram model, with a bonus for words the corpus has, is the restored word (an exact Viterbi search). A word of
+plain letters that the corpus does not have may be one slip of the hand away from a word that matters.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
 from itertools import product
@@ -32,7 +33,8 @@ _BLANK = re.compile(r"(\s+)")
 _TRIPLE = re.compile(r"(.)\1\1")
 _MAY_SPACE = re.compile(r"(?<![^\W_])[^\W_][ .\-_·•*~]{1,2}[^\W_][ .\-_·•*~]")
 _ENDS = re.compile(r"([^\w@$*#]*)(.*?)([^\w@$*#€£]*)", re.S)
-BEAM = 24
+#: Letters of a word from which one slip of the hand is looked for.
+SLIP_FROM = 5
 
 
 def tidy(text: str) -> str:
@@ -49,6 +51,17 @@ def tidy(text: str) -> str:
     return "".join(out)
 
 
+def _without_one(word: str) -> set[str]:
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def _one_slip(a: str, b: str) -> bool:
+    """Whether one letter more, less or another, or two neighbours changed round, makes one word of the other."""
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    x, y = a[n:], b[n:]
+    return x != y and (x[1:] == y or x == y[1:] or x[1:] == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:]))
+
+
 def word_counts(texts: Iterable[str]) -> Counter[str]:
     """Words of the texts that hold no spaced-out word, with their counts. Counts of parts of the texts add up."""
     words: Counter[str] = Counter()
@@ -61,14 +74,17 @@ def word_counts(texts: Iterable[str]) -> Counter[str]:
 
 
 class Restorer:
-    """The character model and word counts of some texts, or of the words counted beforehand."""
+    """The character model and word counts of some texts, or of the words counted beforehand.
 
-    def __init__(self, texts: Iterable[str], extra: list[str] = (), counts: dict[str, int] | None = None):
+    ``lexicon`` has words that one slip of the hand (a letter more, less, another, or two changed round) may also stand for.
+    """
+
+    def __init__(self, texts: Iterable[str], extra: list[str] = (), counts: dict[str, int] | None = None, lexicon: Iterable[str] = ()):
         words = word_counts(texts)
         words.update(counts or {})
         words.update({w: 3 for x in extra for w in _WORD.findall(tidy(x))})
         self.words = {w: c for w, c in words.items() if c > 1 and not _TRIPLE.search(w)}
-        self.longest = max(map(len, self.words), default=0)
+        self.sorted = sorted(self.words)
         three: Counter[str] = Counter()
         two: Counter[str] = Counter()
         for w, c in self.words.items():
@@ -84,6 +100,10 @@ class Restorer:
         self.letters = "".join(sorted(c for c in one if c != "$"))
         self.floor = {c: math.log((one[c] + 0.5) / (total + 30)) - 3.0 for c in self.letters + "$"}
         self.three = {g: math.log(0.9 * c / two[g[:2]] + 0.1 * one[g[2]] / total) for g, c in three.items()}
+        self.slips: dict[str, set[str]] = {}  # of a word, and of a word without one letter, the words of the lexicon
+        for w in {w for x in [*lexicon, *extra] for w in _WORD.findall(tidy(x)) if len(w) >= SLIP_FROM}:
+            for k in (w, *_without_one(w)):
+                self.slips.setdefault(k, set()).add(w)
         self.seen: dict[str, str] = {}
         self.pieces: dict[str, str] = {}
 
@@ -107,25 +127,52 @@ class Restorer:
             out.append(("", -4.0))
         return out or [("", -3.0)]
 
+    def _begins(self, head: str) -> bool:
+        """Whether a known word begins so."""
+        i = bisect_left(self.sorted, head)
+        return i < len(self.sorted) and self.sorted[i].startswith(head)
+
     def decode(self, written: str) -> str:
-        """The best reading of one written word."""
-        beam: dict[tuple[str, str], tuple[float, str]] = {("^^", ""): (0.0, "")}
+        """The best reading of one written word: a known word, or the word as it is where no known one is the likeliest.
+
+        An exact Viterbi search twice: over readings that begin known words (a beginning is a state, and holds the two letters the
+        character model looks at), and over all readings with the last two letters as state, which the known word must match.
+        """
+        known: dict[str, float] = {"": 0.0}
         for i in range(len(written)):
-            new: dict[tuple[str, str], tuple[float, str]] = {}
-            options = self._options(written, i)
-            for (state, _), (score, text) in beam.items():
-                for letter, cost in options:
-                    s = score + cost + (self._step(state, letter) if letter else 0.0)
-                    t = text + letter
-                    key = (state[1] + letter if letter else state, t[-12:])
-                    if key not in new or new[key][0] < s:
-                        new[key] = (s, t)
-            # what is longer than every known word comes to nothing; so long a word costs no more than its length
-            beam = dict(sorted(((k, x) for k, x in new.items() if len(x[1]) <= self.longest), key=lambda x: -x[1][0])[:BEAM])
-            if not beam:
+            new: dict[str, float] = {}
+            for letter, cost in self._options(written, i):
+                for head, score in known.items():
+                    s, h = score + cost, head
+                    if letter:
+                        h = head + letter
+                        if h not in new and not self._begins(h):
+                            continue
+                        s += self._step(("^^" + head)[-2:], letter)
+                    if new.get(h, -1e9) < s:
+                        new[h] = s
+            known = new
+            if not known:
                 return written
-        ends = [(s + self._step(k[0], "$") + (6.0 + 0.4 * math.log(self.words[t]) if t in self.words else 0.0), t) for k, (s, t) in beam.items()]
-        return max(ends)[1] if ends else written
+        ends = [(s + self._step(("^^" + w)[-2:], "$") + 6.0 + 0.4 * math.log(self.words[w]), w) for w, s in known.items() if w in self.words]
+        if not ends:
+            return written
+        best, word = max(ends)
+        free: dict[str, float] = {"^^": 0.0}
+        for i in range(len(written)):
+            new = {}
+            for letter, cost in self._options(written, i):
+                for state, score in free.items():
+                    s, k = (score + cost + self._step(state, letter), state[1] + letter) if letter else (score + cost, state)
+                    if new.get(k, -1e9) < s:
+                        new[k] = s
+            free = new
+        return word if best >= max(s + self._step(k, "$") for k, s in free.items()) else written
+
+    def slip(self, written: str) -> str | None:
+        """The commonest word of the lexicon that is one slip away, None without one."""
+        near = {w for k in (written, *_without_one(written)) for w in self.slips.get(k, ()) if _one_slip(written, w)}
+        return max(near, key=lambda w: (self.words.get(w, 0), w)) if near else None
 
     def word(self, written: str) -> str:
         """A written word restored if it is disguised and a known word comes out, else as it is."""
@@ -161,7 +208,9 @@ class Restorer:
         ends = _ENDS.fullmatch(w)
         head, body, tail = (ends[1], ends[2], ends[3]) if ends else ("", w, "")
         if _PLAIN_WORD.fullmatch(body):
-            return head + self.word(body) + tail if _TRIPLE.search(body) else w
+            if _TRIPLE.search(body):
+                return head + self.word(body) + tail
+            return head + (self.slip(body) or body) + tail if len(body) >= SLIP_FROM - 1 and body.isalpha() and body not in self.words else w
         if _KEEP.fullmatch(body) or not any(c.isalpha() for c in body) or "..." in body:
             return w
         numbered = None if _TRIPLE.search(body) else _NUMBERED.fullmatch(body)
@@ -178,7 +227,7 @@ class Restorer:
         t = _SPACED.sub(self._joined, t) if _MAY_SPACE.search(t) else t
         out = []
         for w in _BLANK.split(t):
-            if len(w) < 3 or (w.isalpha() and not _TRIPLE.search(w)):
+            if len(w) < 3 or w in self.words:
                 out.append(w)
                 continue
             hit = self.pieces.get(w)
