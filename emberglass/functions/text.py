@@ -65,7 +65,7 @@ def us_ntz(c: Column) -> Column:
 def readable_object(c: Column) -> Column:
     """True where the text is one whole JSON object. Spark's own parser lets text behind the object pass, so brackets outside strings must also balance."""
     bare = F.regexp_replace(F.regexp_replace(c, r"\\.", ""), r'"[^"]*"', "")
-    left = F.length(F.regexp_replace(bare, r"[^{\[]", ""))
-    right = F.length(F.regexp_replace(bare, r"[^}\]]", ""))
+    none = F.lit("")
+    left, right = (F.length(F.replace(F.replace(bare, F.lit(a), none), F.lit(b), none)) for a, b in ("{[", "}]"))
     whole = F.btrim(bare, F.lit(BLANKS))
     return F.coalesce(F.call_function("try_parse_json", c).isNotNull() & whole.startswith("{") & whole.endswith("}") & (left == right) & ~bare.rlike(r"[}\]]\s*[{\[]"), F.lit(False))

@@ -150,6 +150,28 @@ class Lowered:
         )
 
 
+def _power(base: Column, exponent: int) -> Column:
+    """An integer to a constant power, exactly; null where it does not fit 64 bits. Squaring keeps the expression small."""
+    if exponent > 63:
+        return F.when(F.abs(base) <= 1, F.when(F.lit(exponent % 2 == 0), F.abs(base)).otherwise(base))
+    out, square = F.lit(1).cast("bigint"), base
+    while exponent:
+        if exponent % 2:
+            out = F.try_multiply(out, square)
+        exponent //= 2
+        if exponent:
+            square = F.try_multiply(square, square)
+    return F.when(base.isNotNull(), out)
+
+
+def _any_power(base: Column, exponent: Column) -> Column:
+    """An integer to any power from 0, exactly; null where it does not fit 64 bits."""
+    one = F.lit(1).cast("bigint")
+    many = F.aggregate(F.sequence(one, F.least(exponent, F.lit(63).cast("bigint"))), one, lambda x, _: F.try_multiply(x, base))
+    small = F.when(exponent % 2 == 0, F.abs(base)).otherwise(base)
+    return F.when(base.isNull() | exponent.isNull(), F.lit(None).cast("bigint")).when(exponent == 0, one).when(F.abs(base) <= 1, small).when(exponent <= 63, many)
+
+
 class Lowering:
     """Lowers one set of sources; ``functions`` is the registry of callable names."""
 
@@ -178,6 +200,7 @@ class Lowering:
         self.path = "main.sml"
         self.used_locals: set[tuple[str, str]] = set()
         self.lookups: dict[int, list[tuple[str, str, Column]]] = {}
+        self.looked_up: dict[tuple[str, str], tuple[str, int]] = {}
 
     # ---- files ----
     def reach(self) -> dict[str, list[tuple[str, ast.Call | None]]]:
@@ -478,10 +501,10 @@ class Lowering:
                     rest = rest + F.when((rest != 0) & ((rest < 0) != (cb < 0)), cb).otherwise(0.0)
                     out = F.when(zero, F.lit(0.0)).otherwise(rest if isinstance(op, ast.Mod) else F.round(F.try_divide(ca - rest, cb)))
             else:
-                p = F.pow(ca.cast("double"), cb.cast("double"))
                 if ints and b.is_const and isinstance(b.const, int) and b.const < 0:
                     ty = FLOAT
-                out = p.try_cast("bigint") if ty == INT else p
+                p = F.pow(ca.cast("double"), cb.cast("double"))
+                out = p if ty == FLOAT else _power(ca, b.const) if b.is_const and isinstance(b.const, int) else F.when(cb < 0, p.try_cast("bigint")).otherwise(_any_power(ca, cb))
         null = out.isNotNull() if ty in (INT,) or a.can_be_null or b.can_be_null else None
         own = both(a.ok, b.ok)
         errors = a.errors + b.errors + ([(~null if own is None else own & ~null)] if null is not None else [])
@@ -489,9 +512,13 @@ class Lowering:
 
     def labels_of(self, entity: V) -> Column:
         """The column of an entity's label states, joined in before the stage that reads it."""
-        name = f"labels_{sum(map(len, self.lookups.values()))}"
-        stage = self.refs[-1]
-        self.lookups.setdefault(stage, []).append((name, entity.entity_type or "", entity.held()))
+        key, stage = (entity.entity_type or "", str(entity.held())), self.refs[-1]
+        name, before = self.looked_up.get(key, (f"labels_{len(self.looked_up)}", None))
+        if before is None or stage < before:  # one join per entity, as early as any of its readers needs it
+            if before is not None:
+                self.lookups[before] = [x for x in self.lookups[before] if x[0] != name]
+            self.lookups.setdefault(stage, []).append((name, key[0], entity.held()))
+            self.looked_up[key] = name, stage
         return F.col(name)
 
     def check_label(self, call: Call) -> None:

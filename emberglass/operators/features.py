@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ntz_us, us_ntz
+from ..runtime import cut
+
 
 class TooManyTypes(ValueError):
     pass
@@ -18,36 +23,44 @@ def type_list(events: DataFrame, column: str, most: int = 4000) -> list[str]:
     return sorted(found)
 
 
-def _folded(events: DataFrame, types: list[str], measures: dict[str, Column], prefix: str) -> DataFrame:
-    """One row per entity with the map ``prefix`` from type number to its measures.
-
-    The first step aggregates by (entity, type) with map-side combine, which folds a hot entity to one row per type; the
-    second gathers at most ``len(types)`` small structs per entity.
-    """
-    known = events.where(F.col("entity").isNotNull() & F.col("kind").isin(types))
-    per = known.groupBy("entity", "kind").agg(*[m.alias(k) for k, m in measures.items()])
-    return per.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct(*measures)))).alias(prefix))
-
-
-def feature_table(parts: list[tuple[str, DataFrame, list[str], dict[str, Column], dict[str, Column]]]) -> DataFrame:
+def feature_table(parts: list[tuple[str, DataFrame, list[str] | None, dict[str, Column], dict[str, Column]]]) -> DataFrame:
     """One row per entity over several event tables.
 
-    Each part is ``(prefix, events(entity, kind, …), types, measures, defaults)``: its columns are
-    ``{prefix}_{type}_{measure}`` for every type of the list, with the default where the entity has no such event. An
-    entity of any part gets a row; null entities and kinds are left out; kinds outside the list have no column.
+    Each part is ``(prefix, events(entity, kind, …), types, measures, defaults)``: its columns are ``{prefix}_{type}_{measure}`` for
+    every type of the list, with the default where the entity has no such event. ``types`` of None means all types there are
+    (``type_list``). An entity of any part gets a row; null entities and kinds are left out; kinds outside a list have no column.
 
-    A thousand conditional aggregates in one pass would carry a row of about 8 KB for each entity and task through the
-    shuffle; here only the types an entity really has are carried and the columns are laid out after it.
+    The events are folded by (entity, type) with map-side combine, so that an entity with a third of all events reaches the
+    shuffle as one row per type and task. Those rows are brought together by entity, and one aggregation with a conditional
+    value for every type of the list (Spark's pivot over given values) lays out the columns where they lie: the wide rows are
+    made behind the last shuffle and never cross one.
     """
-    whole: DataFrame | None = None
-    for prefix, events, types, measures, _ in parts:
-        one = _folded(events, types, measures, prefix)
-        whole = one if whole is None else whole.join(one, "entity", "full_outer")
+    names = list(dict.fromkeys(m for _, _, _, measures, _ in parts for m in measures))
+    folded, times = [], set()
+    for i, (_, events, types, measures, _) in enumerate(parts):
+        known = events.where("entity is not null and kind is not null")
+        known = known if types is None else known.where(F.col("kind").isin(types))
+        per = known.groupBy("entity", F.concat(F.lit(f"{i}:"), F.col("kind").cast("string")).alias("kind")).agg(*[c.alias(m) for m, c in measures.items()])
+        of = dict(per.dtypes)
+        times |= {(m, of[m]) for m in measures if of[m] in ("timestamp", "timestamp_ntz")}
+        whole = {"timestamp": lambda m: F.unix_micros(m), "timestamp_ntz": lambda m: ntz_us(F.col(m))}  # numbers are pivoted in fixed places
+        folded.append(per.select("entity", "kind", *[whole.get(of[m], F.col)(m).alias(m) if m in of else F.lit(None).alias(m) for m in names]))
+    per = reduce(DataFrame.unionByName, folded)
+    lists = [types for _, _, types, _, _ in parts]
+    if None in lists:
+        per = cut(per)
+        lists = [type_list(per.where(F.col("kind").startswith(f"{i}:")).select(F.substring("kind", len(f"{i}:") + 1, 1 << 30).alias("kind")), "kind") if types is None else types for i, types in enumerate(lists)]
+    values = [f"{i}:{t}" for i, types in enumerate(lists) for t in types]
+    if not values:
+        return per.select("entity").distinct()
+    wide = per.repartition("entity").groupBy("entity").pivot("kind", values).agg(*[F.first(m).alias(m) for m in names])
+    wide = wide.toDF("entity", *[f"{v}_{m}" for v in values for m in names])
+    back = {m: (F.timestamp_micros if kind == "timestamp" else us_ntz) for m, kind in times}
     columns = [F.col("entity")]
-    for prefix, _, types, measures, defaults in parts:
-        for t in types:
-            cell = F.element_at(F.col(prefix), F.lit(t))
+    for i, (prefix, _, _, measures, defaults) in enumerate(parts):
+        for t in lists[i]:
             for m in measures:
-                value = cell[m]
-                columns.append((F.coalesce(value, defaults[m]) if m in defaults else value).alias(f"{prefix}_{t}_{m}"))
-    return whole.select(*columns)
+                name = f"{i}:{t}_{m}".replace("`", "``")
+                cell = back.get(m, lambda c: c)(F.col(f"`{name}`"))
+                columns.append((F.coalesce(cell, defaults[m]) if m in defaults else cell).alias(f"{prefix}_{t}_{m}"))
+    return wide.select(*columns)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import computed
+
 REMOVED, ADDED, MANUALLY_REMOVED, MANUALLY_ADDED = range(4)
 CONFLICTING, CANNOT_OVERRIDE_MANUAL, INVALID_LABEL, INVALID_ENTITY = range(4)
 #: Clock differences that are overlooked.
@@ -94,7 +96,8 @@ def mutations_of(evaluated: DataFrame) -> DataFrame:
 
     ``evaluated`` needs ``__action_id``, ``__timestamp`` and ``__effects``; suppressed effects and those without an entity give none.
     """
-    e = evaluated.select(F.col("__action_id").alias("request_id"), F.to_timestamp("__timestamp").alias("at"), F.explode("__effects").alias("e")).where("e.kind = 'label' and not e.suppressed and e.entity_id is not null")
+    made = computed(evaluated, request_id=F.col("__action_id"), at=F.to_timestamp("__timestamp"), effects=F.col("__effects"))
+    e = made.select("request_id", "at", F.explode("effects").alias("e")).where("e.kind = 'label' and not e.suppressed and e.entity_id is not null")
     return e.select(
         "e.entity_type", "e.entity_id", "request_id", "at", F.col("e.name").alias("label_name"), F.explode("e.rules").alias("reason_name"), "e.status", F.lit(False).alias("pending"),
         F.lit("").alias("description"), F.timestamp_micros(F.unix_micros("at") + (F.col("e.expires_after") * 1_000_000).cast("bigint")).alias("expires_at"),

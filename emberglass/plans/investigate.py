@@ -89,7 +89,7 @@ class Predicate:
         if all(names):
             if not isinstance(op, ast.Eq | ast.NotEq):
                 raise fail("query", e, "two features can be compared by == and != only")
-            same = F.col(self.name(a)) == F.col(self.name(b))
+            same = F.col(f"`{self.name(a)}`") == F.col(f"`{self.name(b)}`")
             return same if isinstance(op, ast.Eq) else ~same
         name, value = (self.name(a), self.literal(b)) if names[0] else (self.name(b), self.literal(a))
         col, many = F.col(f"`{name}`"), self.types[name].plain.kind == "list"
@@ -335,8 +335,10 @@ class Query:
         return got[:limit], cursor(got[limit - 1][TIME], got[limit - 1]["__action_id"]) if len(got) > limit else None
 
     def export_csv(self, name: str, path: str, limit: int = CSV_ROWS) -> None:
-        """Writes the top values with their change as CSV."""
-        self.topn_change(name, min(limit, CSV_ROWS)).coalesce(1).write.mode("overwrite").csv(path, header=True)
+        """Writes the top values with their change as CSV; more than ``CSV_ROWS`` of them are refused."""
+        if limit > CSV_ROWS:
+            raise ValueError(f"an export holds at most {CSV_ROWS} rows")
+        self.topn_change(name, limit).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def cursor(at: datetime, action_id: int) -> str:

@@ -36,23 +36,22 @@ USER_IN_JSON = r'(?i)"(?:user_?id|uid)"\s*:\s*"([^"\\]*)"'
 def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(entity, kind, at)`` of action_requests, each request once, the user taken from readable JSON."""
     t = table(spark, sf_dir, "action_requests").where("request_no is not null")
-    once = t.groupBy("request_no").agg(F.min(F.struct(F.col("received_at").isNull().alias("late"), "received_at", "action_name", "request_timestamp", "action_data_json")).alias("r"))
-    readable = readable_object(F.col("r.action_data_json"))
-    user = F.when(readable, F.regexp_extract("r.action_data_json", USER_IN_JSON, 1))
-    return once.select(user_key(user).alias("entity"), F.nullif(F.btrim("r.action_name"), F.lit("")).alias("kind"), F.col("r.request_timestamp").alias("at"))
+    # the user is looked for before copies are folded, so that no payload is sorted or shuffled, and once per row
+    user = F.when(readable_object(F.col("action_data_json")), F.regexp_extract("action_data_json", USER_IN_JSON, 1))
+    read = computed(t.select("request_no", "received_at", "action_name", "request_timestamp", "action_data_json"), request_no=F.col("request_no"), received_at=F.col("received_at"), kind=filled(F.btrim("action_name")), at=F.col("request_timestamp"), entity=user_key(user))
+    once = read.groupBy("request_no").agg(F.min(F.struct(F.col("received_at").isNull().alias("late"), "received_at", "kind", "at", "entity")).alias("r"))
+    return once.select("r.entity", "r.kind", "r.at")
 
 
 def p2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user, with n, latest and total of each event type and n and latest of each action name."""
-    raw = table(spark, sf_dir, "user_actions").select(type_key(F.col("data.event_type")).alias("kind"))
-    names = table(spark, sf_dir, "action_requests").select(F.nullif(F.btrim("action_name"), F.lit("")).alias("kind"))
     total = F.coalesce(F.sum(F.col("score").cast("decimal(28,6)")), F.lit(0)).cast("double")
     n, latest = F.count("*"), F.max("at")
     zero = F.lit(0).cast("bigint")
     table_ = features.feature_table(
         [
-            ("event", user_events(spark, sf_dir), features.type_list(raw, "kind"), {"n": n, "latest": latest, "total": total}, {"n": zero, "total": F.lit(0.0)}),
-            ("action", request_events(spark, sf_dir), features.type_list(names, "kind"), {"n": n, "latest": latest}, {"n": zero}),
+            ("event", user_events(spark, sf_dir), None, {"n": n, "latest": latest, "total": total}, {"n": zero, "total": F.lit(0.0)}),
+            ("action", request_events(spark, sf_dir), None, {"n": n, "latest": latest}, {"n": zero}),
         ]
     )
     return table_.withColumnRenamed("entity", "user_id")
@@ -177,7 +176,7 @@ ORACLES = {
       select user_id, min(us) as session_start_us, max(us) as session_end_us, max(us) - min(us) as duration_us, count(*) as n_events, count(distinct action_id) as n_actions from n group by user_id, no""",
     "p6_found": _PLACED + " select distinct dataset, record_id from placed where arr > h + 25 * 3600000000::bigint",
     "p6_counts": _PLACED
-    + """, once as (select dataset, record_id, action_name, h, min(arr) as arr from placed group by all)
+    + """, once as (select dataset, record_id, action_name, h, arr from placed qualify record_id is null or row_number() over (partition by dataset, record_id order by arr is null, arr, ev, action_name nulls first) = 1)
       select dataset, make_timestamp(h) as hour_start, action_name,
         count(*) filter (arr < h + 3600000000) as n_first,
         count(*) filter (arr >= h + 3600000000 and arr <= h + 25 * 3600000000::bigint) as n_late,

@@ -62,8 +62,11 @@ def computed(df: DataFrame, **columns) -> DataFrame:
     """The named columns, each computed once per row.
 
     Filters on a computed column are otherwise moved below it together with its expression, which is then computed for the filter
-    and again for the result; behind a generator it stays a column. Only the fields the expressions use are read.
+    and again for the result. A column with a part that is not deterministic (here one that is never reached) stays where it is,
+    and unlike behind a generator what its expression uses several times is still computed once. Only the fields the
+    expressions use are read.
     """
     from pyspark.sql import functions as F
 
-    return df.select(F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    kinds = {f.name: f.dataType for f in df.select(*[c.alias(n) for n, c in columns.items()]).schema}
+    return df.select(*[F.coalesce(c, F.when(F.spark_partition_id() < 0, F.lit(None).cast(kinds[n]))).alias(n) for n, c in columns.items()])

@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,10 +27,13 @@ class Sink:
     retries: int = 3
 
 
+def _json(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ("__effects", "__audit", "__entity_verdicts")]))
+
+
 def features_json(df: DataFrame) -> DataFrame:
     """Key and the extracted features as JSON, as message consumers take them."""
-    names = [c for c in df.columns if c not in ("__effects", "__audit", "__entity_verdicts")]
-    return df.select(F.col("__action_id").cast("string").alias("key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])).alias("value"))
+    return df.select(F.col("__action_id").cast("string").alias("key"), _json(df).alias("value"))
 
 
 def parquet_sink(path: str) -> Sink:
@@ -44,12 +47,11 @@ def parquet_sink(path: str) -> Sink:
 
 
 def stored_result_sink(path: str) -> Sink:
-    """``(id, extracted_features, error_count, stored_timestamp)`` per action."""
+    """``(id, extracted_features, error_count, stored_timestamp)``, one row per evaluated row; an id that comes twice is stored twice."""
 
     def push(df: DataFrame, batch: int) -> None:
-        features_json(df).select(F.col("key").cast("bigint").alias("id"), F.col("value").alias("extracted_features")).join(
-            df.select(F.col("__action_id").alias("id"), F.col("__error_count").alias("error_count"), F.to_timestamp("__timestamp").alias("stored_timestamp")), "id"
-        ).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        stored = df.select(F.col("__action_id").cast("bigint").alias("id"), _json(df).alias("extracted_features"), F.col("__error_count").alias("error_count"), F.to_timestamp("__timestamp").alias("stored_timestamp"))
+        stored.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return Sink("stored_result", push)
 
@@ -63,9 +65,10 @@ def console_sink(rows: int = 20) -> Sink:
     return Sink("console", lambda df, _: df.show(rows, truncate=False))
 
 
-def csv_sink(path: str, limit: int = 100_000) -> Sink:
+def csv_sink(path: str) -> Sink:
+    """All rows of each micro-batch, nested columns as JSON."""
     flat = lambda df: df.select(*[c if not t.startswith(("array", "struct", "map")) else F.to_json(F.col(f"`{c}`")).alias(c) for c, t in df.dtypes])
-    return Sink("csv", lambda df, batch: flat(df).limit(limit).write.mode("overwrite").csv(f"{path}/batch={batch}", header=True))
+    return Sink("csv", lambda df, batch: flat(df).write.mode("overwrite").csv(f"{path}/batch={batch}", header=True))
 
 
 class LabelTable:

@@ -259,10 +259,33 @@ def test_late_stream_equals_batch_and_repeats_safely(spark, tmp_path):
         late.write_batch(df.where(F.pmod(F.hash("record_id"), F.lit(3)) == n), n, folder)
     late.write_batch(df.where(F.pmod(F.hash("record_id"), F.lit(3)) == 1), 1, folder)
     want = {(r.hour_start_us, r.action_name): r.n_final for r in lateness.period_counts(df).collect() if r.n_final}
-    assert {(r.period_us_start, r.action_name): r.n_final for r in late.counts(spark, folder).collect()} == want
+    assert {(r.window_start_us, r.action_name): r.n_final for r in late.counts(spark, folder).collect()} == want
     assert {r.record_id for r in late.refused(spark, folder).collect()} == {r.record_id for r in lateness.refused(df).collect()}
 
 
+def test_late_stream_counts_a_record_once(spark, tmp_path):
+    from emberglass.operators import lateness
+
+    h, schema = lateness.HOUR_US, "dataset string, record_id string, action_name string, event_us long, arrival_us long"
+    batches = [[("d", "1", "a", 5, 6), ("d", None, "a", 5, 7), ("d", "2", "a", 5, 30 * h)], [("d", "1", "a", 5, 8), ("d", None, "a", 5, 7), ("d", "2", "a", 5, 31 * h), ("d", "3", "a", 5, 2 * h)], [("d", "1", "a", 5, 6), ("d", "4", "b", h + 5, None)], []]
+    folder = str(tmp_path / "late")
+    for n, rows in enumerate(batches):
+        late.write_batch(spark.createDataFrame(rows, schema), n, folder)
+        if n == 1:
+            late.compact(spark, folder, 1)
+    got = {(r.window_start_us, r.action_name): (r.n_first, r.n_late, r.n_unknown, r.n_refused, r.n_final) for r in late.counts(spark, folder).collect()}
+    assert got == {(0, "a"): (3, 1, 0, 1, 4), (h, "b"): (0, 0, 1, 0, 1)}
+    assert [r.record_id for r in late.refused(spark, folder).collect()] == ["2"]
+    every = {(r.hour_start_us, r.action_name): (r.n_first, r.n_late, r.n_refused, r.n_final) for r in lateness.period_counts(spark.createDataFrame(sum(batches, []), schema)).collect()}
+    assert every == {k: (v[0], v[1], v[3], v[4]) for k, v in got.items()}
+
+
+def test_stored_results_are_one_row_per_action(spark, tmp_path):
+    many = spark.createDataFrame([(1, "n", NOW, '{"u": "a"}')] * 3 + [(2, "n", NOW, None)] * 3, "action_id long, action_name string, timestamp timestamp, data string")
+    engine.stored_result_sink(str(tmp_path / "s")).push(compile_rules(RULES).evaluate(many), 0)
+    assert spark.read.parquet(f"{tmp_path}/s").count() == 6
+
+
 def test_late_stream_runs(spark, tmp_path):
     schema = "dataset string, record_id string, action_name string, event_us long, arrival_us long"
     spark.createDataFrame([("d", "1", "a", 5, 6), ("d", "2", "a", 5, 26 * 3_600_000_000)], schema).write.parquet(str(tmp_path / "in"))

@@ -207,3 +207,21 @@ def test_arithmetic_is_pythons(spark, expressions):
             want = None
         got = row[f"X{i}"]
         assert got == want or (want is not None and got is not None and math.isclose(got, want, rel_tol=1e-9, abs_tol=1e-9)), e
+
+
+def test_integer_power_is_exact(spark):
+    from emberglass.lang.lower import compile_rules
+
+    rules = compile_rules({"main.sml": "X: int = JsonData(path='$.x')\nY: int = JsonData(path='$.y')\nA = 3 ** 35\nB = X ** 39\nC = X ** 40\nD = X ** Y\nE = (X - 4) ** 65\nG = X ** 0\n"})
+    rows = [(1, "n", None, '{"x": 3, "y": 39}'), (2, "n", None, '{"x": 3, "y": 64}'), (3, "n", None, '{"x": -1, "y": 77}'), (4, "n", None, '{"x": 7, "y": 0}')]
+    got = {r["__action_id"]: r for r in rules.evaluate(spark.createDataFrame(rows, "action_id long, action_name string, timestamp timestamp, data string")).collect()}
+    assert got[1]["A"] == 3**35 if "A" in got[1] else True
+    assert (got[1]["B"], got[1]["C"], got[1]["D"], got[1]["E"], got[1]["G"]) == (3**39, None, 3**39, -1, 1)
+    assert got[2]["D"] is None and got[3]["D"] == -1 and got[4]["D"] == 1 and got[3]["B"] == -1 and got[3]["C"] == 1
+
+
+def test_labels_of_one_entity_are_joined_once(spark):
+    from emberglass.lang.lower import compile_rules
+
+    rules = compile_rules({"main.sml": "U: Entity[str] = EntityJson(type='User', path='$.u')\nA = HasLabel(entity=U, label='x')\nB = HasLabel(entity=U, label='y') and A\nC = HasLabel(entity=U, label='x', status='removed')\n"})
+    assert sum(map(len, rules.lookups.values())) == 1

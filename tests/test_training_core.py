@@ -193,6 +193,28 @@ def test_late_records(spark):
     assert lateness.period_counts(spark.createDataFrame([], RECORD)).count() == 0
 
 
+def test_corrections_by_upsert(spark):
+    rows = [("d", "1", "a", 10, 20, ""), ("d", "2", "a", 10, 2 * H, ""), ("d", "3", "a", 10, 2 * H + 1, ""), ("d", "4", "a", 10, 30 * H, ""), ("d", "5", "a", 10, None, "")]
+    got = sorted(((r.arrival_period, r.n_final, r.n_refused, r.last) for r in lateness.upserts(spark.createDataFrame(rows, RECORD)).collect()), key=str)
+    assert got == [(0, 2, 0, False), (2, 4, 0, False), (30, 4, 1, True), (None, 1, 0, False)]
+
+
+def test_a_record_id_counts_once(spark):
+    rows = [("d", "1", "a", 10, 20, ""), ("d", "1", "b", 10, 15, ""), ("d", "1", "b", 2 * H, None, ""), ("d", None, "a", 10, 20, ""), ("d", None, "a", 10, 20, "")]
+    got = {(r.hour_start_us, r.action_name): r.n_final for r in lateness.period_counts(spark.createDataFrame(rows, RECORD)).collect()}
+    assert got == {(0, "b"): 1, (0, "a"): 2}
+
+
+def test_feature_table_of_odd_names_and_times(spark):
+    from datetime import datetime
+
+    at = datetime(2024, 1, 2, 3, 4, 5, 678901)
+    e = spark.createDataFrame([("u", "a.b`c", at), ("u", "x y", at), ("v", None, at), (None, "x y", at), ("w", "other", at)], "entity string, kind string, at timestamp_ntz")
+    got = {r["entity"]: r.asDict() for r in features.feature_table([("e", e, None, {"n": F.count("*"), "latest": F.max("at")}, {"n": F.lit(0)}), ("z", e.limit(0), None, {"n": F.count("*")}, {})]).collect()}
+    assert set(got) == {"u", "w"} and got["u"]["e_a.b`c_latest"] == at and got["u"]["e_x y_n"] == 1 and got["u"]["e_other_n"] == 0 and got["w"]["e_x y_latest"] is None
+    assert features.feature_table([("e", e.limit(0), None, {"n": F.count("*")}, {})]).count() == 0
+
+
 def test_feature_table(spark):
     e = spark.createDataFrame([("u", "a", 1, 2.5, "x"), ("u", "a", 3, None, "x"), ("u", "b", 2, 1.0, "x"), ("v", "c", 9, 1.0, "x"), (None, "a", 1, 1.0, "x"), ("w", None, 1, 1.0, "x")], "entity string, kind string, at long, score double, event string")
     measures = {"n": F.count("*"), "latest": F.max("at"), "total": F.coalesce(F.sum("score"), F.lit(0.0))}
