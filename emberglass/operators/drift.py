@@ -125,12 +125,6 @@ def _items(value: list) -> Iterator[object]:
             todo.pop()
 
 
-def _kind(value: object) -> str:
-    if isinstance(value, bool):
-        return "boolean"
-    return "number" if isinstance(value, int | float) else "string" if isinstance(value, str) else "array" if isinstance(value, list) else "null"
-
-
 def _leaves(obj: dict, at: str = "") -> Iterator[tuple[str, object]]:
     todo = [(at, obj)]
     while todo:
@@ -142,60 +136,84 @@ def _leaves(obj: dict, at: str = "") -> Iterator[tuple[str, object]]:
                 yield f"{pre}{k}", v
 
 
+_KIND = {str: "string", int: "number", float: "number", bool: "boolean", list: "array"}
+
+
+def _described(values: list, fits: bool) -> Iterator[tuple[str, int]]:
+    """All features of one field from its values in some records of a file, nulls among them."""
+    yield "p", len(values)
+    types = Counter(map(type, values))
+    types.pop(type(None), None)
+    kinds: Counter = Counter()
+    for t, n in types.items():
+        kinds[_KIND[t]] += n
+    for k, n in kinds.items():
+        yield f"t:{k}", n
+    by_type = {t: [x for x in values if type(x) is t] if len(types) > 1 or n < len(values) else values for t, n in types.items()}
+    lists = by_type.pop(list, None)
+    if fits and by_type:
+        yield from _fits(by_type)
+    for x in (x for v in lists or () for x in _items(v)):
+        by_type.setdefault(type(x), []).append(x)
+    yield from _content(by_type)
+
+
 def _profile_batches(batches: Iterator[pa.RecordBatch], fits: bool = False) -> Iterator[pa.RecordBatch]:
     import json
 
-    counts: Counter = Counter()
-    content: dict[tuple, dict[type, list]] = {}
-    single: dict[tuple, dict[type, list]] = {}
+    decode = json.JSONDecoder().decode
+    files: dict[tuple, dict[str, list]] = {}
     held = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal held
-        for at, by_type in content.items():
-            for f, n in _content(by_type):
-                counts[*at, f] += n
-        for at, by_type in single.items():
-            for f, n in _fits(by_type):
-                counts[*at, f] += n
-        keys = list(counts)
-        cols = [pa.array([k[i] for k in keys], type=_PROFILE.field(i).type) for i in range(5)]
-        out = pa.RecordBatch.from_arrays([*cols, pa.array(list(counts.values()), type=pa.int64())], schema=_PROFILE)
-        counts.clear()
-        content.clear()
-        single.clear()
-        held = 0
-        return out
+        rows: list[list] = [[], [], [], [], [], []]
+        for file, fields in files.items():
+            for path, values in fields.items():
+                described = [("r", len(values))] if path == "" else list(_described(values, fits))
+                for column, x in zip(rows, [*file, path], strict=False):
+                    column += [x] * len(described)
+                rows[4] += [f for f, _ in described]
+                rows[5] += [n for _, n in described]
+        files.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, type=_PROFILE.field(i).type) for i, c in enumerate(rows)], schema=_PROFILE)
 
     for batch in batches:
         for dataset, producer, seq, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             try:
-                obj = json.loads(text) if text else None
+                obj = decode(text) if text else None
             except (ValueError, RecursionError):
                 continue
             if not isinstance(obj, dict):
                 continue
-            counts[dataset, producer, seq, "", "r"] += 1
-            seen = set()
-            for path, value in _leaves(obj):
-                if path in seen:
-                    continue
-                seen.add(path)
-                at = (dataset, producer, seq, path)
-                counts[*at, "p"] += 1
-                if value is not None:
-                    counts[*at, f"t:{_kind(value)}"] += 1
-                    by_type = content.setdefault(at, {})
-                    for x in _items(value) if isinstance(value, list) else (value,):
-                        by_type.setdefault(type(x), []).append(x)
-                    if fits and not isinstance(value, list):
-                        single.setdefault(at, {}).setdefault(type(value), []).append(value)
+            fields = files.setdefault((dataset, producer, seq), {"": []})
+            fields[""].append(None)
+            deep = False
+            for key, value in obj.items():
+                if type(value) is dict or not key or "." in key:
+                    deep = True
+                    break
+            # a path may come twice where keys hold dots; its first value counts. The empty path stands for the records
+            for path, value in _first(_leaves(obj)) if deep else obj.items():
+                at = fields.get(path)
+                if at is None:
+                    fields[path] = [value]
+                else:
+                    at.append(value)
             held += len(text)
             if held >= HELD:
                 yield flush()
+                held = 0
     yield flush()
 
 
+def _first(leaves: Iterator[tuple[str, object]]) -> Iterator[tuple[str, object]]:
+    seen = {""}
+    for path, value in leaves:
+        if path not in seen:
+            seen.add(path)
+            yield path, value
+
+
 def profile(rows: DataFrame, fits: bool = False) -> DataFrame:
     """``(dataset, producer, file_seq, path, feature, n)`` of ``rows(dataset, producer, file_seq, payload)``.
 
@@ -238,8 +256,9 @@ def lifespans(profiled: DataFrame, present: float = PRESENT) -> DataFrame:
     own = Window.partitionBy("dataset", "producer", "path").orderBy("file_no")
     known = F.coalesce("kind", F.last("kind", True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.first("kind", True).over(own.rowsBetween(0, Window.unboundedFollowing)), F.lit("null"))
     typed = there.withColumn("kind", known)
-    run = Window.partitionBy("dataset", "producer", "path", "kind").orderBy("file_no")
-    island = typed.withColumn("island", F.col("file_no") - F.row_number().over(run))
+    goes_on = (F.lag("file_no").over(own) == F.col("file_no") - 1) & (F.lag("kind").over(own) == F.col("kind"))
+    begins = typed.withColumn("begins", F.when(goes_on, 0).otherwise(1))
+    island = begins.withColumn("island", F.sum("begins").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy("dataset", "producer", "path", "kind", "island").agg(F.min("file_no").alias("first_no"), F.max("file_no").alias("last_no"), F.first("files_to").alias("files_to"), F.min("file_seq").alias("first_seq")).drop("island")
 
 
