@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import whole_number_key
+from ..runtime import cut
 from .components import SALTS, components
 
 
@@ -44,11 +45,10 @@ def _messages(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     comp = components(links)
 
-    by_action = keyed.where("action_key is not null").groupBy("action_key").agg(F.min(_copy()).alias("best"))
-    by_token = keyed.where("action_key is null and token_key is not null").groupBy("token_key").agg(F.min(_copy()).alias("best"))
-    nodes = by_action.select(F.col("action_key").alias("node"), "best").unionByName(
-        by_token.join(least.select("token_key", "head"), "token_key", "left").select(F.coalesce("head", "token_key").alias("node"), "best")
-    )
+    # tokens of deliveries without an action id belong to the action they came with elsewhere
+    own = F.coalesce("action_key", "token_key")
+    by_key = keyed.where(own.isNotNull()).groupBy(own.alias("token_key")).agg(F.min(_copy()).alias("best"))
+    nodes = by_key.join(least.select("token_key", "head"), "token_key", "left").select(F.coalesce("head", "token_key").alias("node"), "best")
     best = nodes.join(comp, "node", "left").select(F.coalesce("rep", "node").alias("rep"), "best").groupBy("rep").agg(F.min("best").alias("best"))
     idents = keyed.select(F.col("action_key").alias("ident"), F.col("action_key").alias("node")).where("ident is not null").distinct()
     tokens = keyed.where("token_key is not null").groupBy("token_key").agg(F.min("action_key").alias("head")).select(F.col("token_key").alias("ident"), F.coalesce("head", "token_key").alias("node"))
@@ -60,9 +60,10 @@ def duplicates(deliveries: DataFrame) -> DataFrame:
 
     Of each message the copy with the earliest ``received_at`` (unknown times last), then the smallest ``delivery_id``,
     stays. Deliveries without any identifier are never copies of one another and stay. Extra columns are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result. The keys are read off the payloads once and written to the checkpoint folder, as
+    several steps read them.
     """
-    keyed = delivery_keys(deliveries)
+    keyed = cut(delivery_keys(deliveries))
     best, _ = _messages(keyed)
     kept = best.select(F.col("best.delivery_id").alias("delivery_id"))
     named = keyed.where("action_key is not null or token_key is not null").select("delivery_id")
@@ -81,7 +82,7 @@ def new_messages(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFr
     against the stored identifiers); the identifiers of all messages of the batch, old and new, are to be stored,
     so that chains which continue in a later batch are still recognised.
     """
-    keyed = delivery_keys(batch)
+    keyed = cut(delivery_keys(batch))
     best, idents = _messages(keyed)
     old = idents.join(stored.select("ident").distinct(), "ident", "left_semi").select("rep").distinct()
     fresh = best.join(old, "rep", "left_anti").select(F.col("best.delivery_id").alias("delivery_id"))
