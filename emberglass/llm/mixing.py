@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
@@ -52,13 +52,33 @@ def rake(have: np.ndarray, source: np.ndarray, others: list[np.ndarray], aim: np
     return w
 
 
+#: Topics of a document with the words they are known by. Documents carry none of their own, so the topic is lexical.
+TOPICS = {
+    "reports": ("report", "complaint", "incident"),
+    "appeals": ("appeal", "restore", "unban"),
+    "policies": ("policy", "guideline", "allowed"),
+    "rules": ("rule", "label", "when_all"),
+    "operations": ("server", "queue", "deploy", "latency"),
+    "accounts": ("account", "login", "password", "user_"),
+    "messages": ("message", "chat", "channel", "thread"),
+}
+MARGINALS = ("lang", "topic")
+
+
+def topic(text: Column) -> Column:
+    """The topic whose words stand in the text most often, in the order of ``TOPICS`` where several do; ``other`` without any."""
+    low = F.lower(text)
+    often = [sum((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / F.lit(len(w)) for w in words) for words in TOPICS.values()]
+    most = F.greatest(*often)
+    return F.coalesce(F.when(most > 0, F.coalesce(*[F.when(n == most, F.lit(t)) for t, n in zip(TOPICS, often, strict=True)])), F.lit("other"))
+
+
 def sized(documents: DataFrame, vocab_path: str | None = None) -> DataFrame:
-    """``(doc_id, source, lang, n_tokens)``, written once to the checkpoint folder, as the fit and the draw both read it."""
-    sizes = token_counts(documents, vocab_path)
-    return cut(sizes.join(documents.select("doc_id", "source", "lang"), "doc_id"))
+    """``(doc_id, n_tokens, source, lang, topic)``, written once to the checkpoint folder, as the fit and the draw both read it."""
+    return cut(token_counts(documents, vocab_path, source=F.col("source"), lang=F.col("lang"), topic=topic(F.col("text"))))
 
 
-def plan(sizes: DataFrame, targets: DataFrame, marginals: tuple[str, ...] = ("lang",), budget: int | None = None) -> tuple[list[tuple], list[tuple]]:
+def plan(sizes: DataFrame, targets: DataFrame, marginals: tuple[str, ...] = MARGINALS, budget: int | None = None) -> tuple[list[tuple], list[tuple]]:
     """Cells with their weights, and per source ``(source, target_share, max_repeats, available, wanted)``.
 
     Both are of the size of the target table times the values of the marginals, which is checked. The budget is the number
@@ -85,13 +105,14 @@ def plan(sizes: DataFrame, targets: DataFrame, marginals: tuple[str, ...] = ("la
     )
 
 
-def draw(sizes: DataFrame, cells: list[tuple], marginals: tuple[str, ...] = ("lang",)) -> DataFrame:
+def draw(sizes: DataFrame, cells: list[tuple], marginals: tuple[str, ...] = MARGINALS, seed: int = 7) -> DataFrame:
     """``(doc_id, source, n_tokens, uses)`` of the drawn documents.
 
-    Within a cell each document is wanted the same number of times; strata of about 2,000 documents (chosen by hash, so a
+    The raked weight of a cell is how often each of its documents is to be used on average: its whole part for certain, the rest
+    a probability. The draw that has just these probabilities is systematic: strata of about 2,000 documents (chosen by hash, so a
     source with a third of all documents is spread) are walked in order of size, and a use falls wherever the running
     weight passes a whole number. The drawn tokens thus come close to the wanted ones, no document passes its cap, and the
-    draw is the same each time.
+    draw is the same each time for a seed.
     """
     spark = sizes.sparkSession
     keys = ["source", *marginals]
@@ -99,8 +120,8 @@ def draw(sizes: DataFrame, cells: list[tuple], marginals: tuple[str, ...] = ("la
     weights = F.broadcast(spark.createDataFrame(cells, f"{kinds}, weight double, strata bigint"))  # at most MOST_CELLS rows
     on = [F.col(k).cast("string").eqNullSafe(F.col(f"c_{k}")) for k in keys]
     rows = sizes.join(weights, on).withColumn("stratum", F.pmod(F.xxhash64("doc_id"), F.col("strata")))
-    order = Window.partitionBy(*keys, "stratum").orderBy(F.desc("n_tokens"), F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    start = (F.pmod(F.xxhash64(*[F.coalesce(F.col(k), F.lit("")) for k in keys], F.col("stratum")), F.lit(1_000_003)) + F.lit(0.5)) / F.lit(1_000_003.0)
+    order = Window.partitionBy(*keys, "stratum").orderBy(F.desc("n_tokens"), F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    start = (F.pmod(F.xxhash64(*[F.coalesce(F.col(k), F.lit("")) for k in keys], F.col("stratum"), F.lit(seed)), F.lit(1_000_003)) + F.lit(0.5)) / F.lit(1_000_003.0)
     upto = lambda n: F.floor(F.round(F.col("weight") * n + start, 9))
     placed = rows.withColumn("rn", F.row_number().over(order))
     return placed.withColumn("uses", (upto(F.col("rn")) - upto(F.col("rn") - 1)).cast("int")).where("uses > 0").select("doc_id", "source", "n_tokens", "uses")

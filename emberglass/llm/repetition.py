@@ -1,6 +1,7 @@
 """Repetition inside a single document.
 
-A logistic regression on hashed word and character n-grams proposes documents, an exact count decides.
+A logistic regression on the repetition of hashed word and character n-grams scores every document, with calibrated probabilities.
+Documents from a fixed probability on are counted exactly, as the share of words said before is defined by an exact count.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ LIMIT = 0.3
 PROPOSE = 0.002
 #: Most documents the regression is fitted on, those of the smallest hashes.
 FIT_ROWS = 4000
-WORD_ORDERS = (2, 5)
+#: Words and characters in the hashed n-grams whose repetition is the regression's input.
+WORD_ORDERS = (1, 2, 3, 5, 8)
 CHAR_ORDERS = (32,)
 _WORD = re.compile(r"\w+")
 
@@ -53,7 +55,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _again(codes: np.ndarray, orders: tuple[int, ...]) -> list[float]:
-    """For each order, the share of the hashed n-grams of a code sequence that occurred before; grams of 2n come from pairs of n."""
+    """For each order, the shares of the hashed n-grams of a code sequence that occurred before, and that occurred twice before.
+
+    Grams of 2n come from pairs of n.
+    """
     by: dict[int, np.ndarray] = {1: codes}
 
     def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,9 +73,9 @@ def _again(codes: np.ndarray, orders: tuple[int, ...]) -> list[float]:
 
     out = []
     for n in orders:
-        h = of(n)
-        h = np.sort(h)
-        out.append(float((h[1:] == h[:-1]).sum()) / len(h) if len(h) > 1 else 0.0)
+        h = np.sort(of(n))
+        same = h[1:] == h[:-1]
+        out += [np.count_nonzero(same) / len(h), np.count_nonzero(same[1:] & same[:-1]) / len(h)] if len(h) > 1 else [0.0, 0.0]
     return out
 
 

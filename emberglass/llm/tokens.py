@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vocab import Vocabulary
@@ -27,7 +27,9 @@ def _encoder(shared, counts_only: bool):
                     out += vocab.encode_batch(held)
                     held, size = [], 0
             out += vocab.encode_batch(held)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in out] if counts_only else out, type=kind)], names=["doc_id", "n_tokens" if counts_only else "ids"])
+            done = pa.array([len(x) for x in out] if counts_only else out, type=kind)
+            rest = range(2, batch.num_columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), done, *(batch.column(i) for i in rest)], names=["doc_id", "n_tokens" if counts_only else "ids", *(batch.schema.names[i] for i in rest)])
 
     return run
 
@@ -43,7 +45,8 @@ def encode(documents: DataFrame, vocab_path: str | None = None) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_encoder(shared, False), "doc_id bigint, ids array<int>")
 
 
-def token_counts(documents: DataFrame, vocab_path: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens)`` of every text, 0 for null and empty."""
+def token_counts(documents: DataFrame, vocab_path: str | None = None, **keep: Column) -> DataFrame:
+    """``(doc_id, n_tokens, …)`` of every text, 0 for null and empty; the text columns ``keep`` go along, so that nothing need be joined to them."""
     shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(vocab_path))
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_encoder(shared, True), "doc_id bigint, n_tokens bigint")
+    rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *[c.cast("string").alias(n) for n, c in keep.items()])
+    return rows.mapInArrow(_encoder(shared, True), "doc_id bigint, n_tokens bigint" + "".join(f", {n} string" for n in keep))

@@ -366,3 +366,33 @@ def test_held_out_agreement_with_raters():
         said, meant = p[:, i] >= abuse.LIMIT, np.array([x == c for _, x, _ in held])
         calm = np.array([x == "none" for _, x, _ in held])
         assert (said & meant).sum() / meant.sum() > 0.7 and (said & meant).sum() / (said & (meant | calm)).sum() > 0.8
+
+
+@needs_vocab
+def test_mix_keeps_the_other_marginals(spark):
+    """Where no source is short, languages and topics keep the shares that raking to all marginals gives them."""
+    rng = random.Random(4)
+    words = {"reports": "a report about", "appeals": "please unban", "other": "nothing much"}
+    rows = [(i, rng.choice(list(words.values())) + " lorem ipsum dolor" * rng.randint(1, 9), rng.choice(["en", "de", None]), rng.choice(["a", "a", "b", "c"])) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.5, 3), ("c", 0.2, 2)], "source string, target_share double, max_repeats int")
+    sizes = mixing.sized(docs)
+    drawn = mixing.draw(sizes, mixing.plan(sizes, targets)[0]).join(sizes.select("doc_id", "lang", "topic"), "doc_id")
+    total = drawn.agg(F.sum(F.col("n_tokens") * F.col("uses"))).first()[0]
+    assert {r.topic for r in sizes.select("topic").distinct().collect()} == {"reports", "appeals", "other"}
+    for column, aims in (("source", {"a": 0.3, "b": 0.5, "c": 0.2}), *((m, {r[0]: r.s for r in sizes.groupBy(m).agg(F.sum("n_tokens").alias("s")).collect()}) for m in ("lang", "topic"))):
+        scale = sum(aims.values())
+        for r in drawn.groupBy(column).agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("t")).collect():
+            assert abs(r.t / total - aims[r[0]] / scale) < 0.02
+    other = mixing.draw(sizes, mixing.plan(sizes, targets)[0], seed=8)
+    assert {r.doc_id for r in other.collect()} != {r.doc_id for r in drawn.collect()}
+
+
+def test_the_regression_alone_tells_repetitive_documents():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:5000]
+    words = [repetition.words_of(t or "") for t in texts]
+    x, y = np.array([repetition.features(t or "", w) for t, w in zip(texts, words, strict=True)]), np.array([float(repetition.repeated_share(w) >= repetition.LIMIT) for w in words])
+    p, true = repetition.Logistic.fit(x[:3000], y[:3000]).probability(x[3000:]), y[3000:] > 0
+    assert true.sum() > 50 and (p[true] >= 0.5).mean() >= 0.9 and true[p >= 0.5].mean() >= 0.9 and p[true].min() > repetition.PROPOSE
