@@ -105,6 +105,9 @@ _VALUE = r"(?P<value>(?=[A-Z0-9.\-/ ]*\d(?:[A-Z0-9.\-/ ]*\d){4})[A-Z0-9]{1,12}(?
 _IDENTITY = re.compile(rf"(?i:(?<![\p{{L}}\p{{N}}]){_LABEL}(?![\p{{L}}]))(?P<between>[\s:#=,.]*(?:(?i:is|es|ist|est|lautet|it's|its|no|no\.|number|nummer|numéro|número|nr|nr\.|:|=|was|war|here|hier)[\s:#=,.]+){{0,3}}){_VALUE}")
 
 
+_LABEL_NEAR = re.compile(rf"(?i)(?<![\p{{L}}\p{{N}}]){_LABEL}(?![\p{{L}}])")
+
+
 def luhn(digits: str) -> bool:
     """Luhn's check sum."""
     total = 0
@@ -137,7 +140,7 @@ def _letter(text: str) -> bool:
     return bool(m) and "TRWAGMYFPDXBNJZSQVHLCKE"[int(m[1]) % 23] == m[2]
 
 
-_SHAPES = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}|\d{9}|[A-Z]{2}\d{7}|\d{2} \d{4} \d{4} \d{2}|\d{3}\.\d{3}\.\d{3}-\d{2}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{8}-?[A-Z]|[A-Z]\d{2}[A-Z]\d{5}|[A-Z]\d{8}")
+_SHAPES = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}|\d{2} ?\d{3} ?\d{3} ?\d{3}|\d{2}-\d{7}|\d{9}|[A-Z]{2}\d{7}|\d{2} \d{4} \d{4} \d{2}|\d{3}\.\d{3}\.\d{3}-\d{2}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{8}-?[A-Z]|[A-Z]\d{2}[A-Z]\d{5}|[A-Z]\d{8}")
 
 
 def checked(value: str) -> bool:
@@ -158,19 +161,24 @@ def _identities(t: str, low: str) -> Iterator[Span]:
             if cut == value:
                 break
             value = cut
+        shaped = value
+        while shaped and not _SHAPES.fullmatch(shaped):  # what stands behind a number of known shape is no part of it
+            shaped = shaped[: max((shaped.rfind(c) for c in " .-/"), default=-1)] if re.search("[ .\\-/]", shaped) else ""
+        value = shaped or value
         if len(re.sub(r"\D", "", value)) < 5:
             continue
-        score = 1.0 + 0.5 * bool(_SHAPES.fullmatch(value)) + 0.3 * checked(value)
+        score = 0.7 + 0.5 * bool(shaped) + 0.3 * checked(value)  # the label alone is not enough
         yield Span("identity_number", m.start("value"), m.start("value") + len(value), score)
 
 
-_BARE = re.compile(r"(?<![\p{L}\p{N}_.+\-,/$#])(?:(?P<eleven>\d{3}\.\d{3}\.\d{3}-\d{2})|(?P<letter>\d{8}-?[A-Z]))(?![\p{L}\p{N}_]|[.,:\-/]\d)")
+_BARE = re.compile(r"(?<![\p{L}\p{N}_.+\-,/$#])(?:(?P<eleven>\d{3}\.\d{3}\.\d{3}-\d{2})|(?P<letter>\d{8}-?[A-Z])|(?P<social>(?!000|666)\d{3}-(?!00)\d{2}-(?!0000)\d{4}))(?![\p{L}\p{N}_]|[.,:\-/]\d)")
 
 
 def _bare_identities(t: str) -> Iterator[Span]:
-    """Numbers without a label word, of a shape of their own: here the check digits or letter decide."""
+    """Numbers without a label right before them, of a shape of their own: the check digits or letter decide, or where a shape has none, a label word nearby."""
     for m in _BARE.finditer(t):
-        confirmed = _eleven(re.sub(r"\D", "", m[0])) if m["eleven"] else _letter(m[0])
+        near = t[max(0, m.start() - 40) : m.start()] + " " + t[m.end() : m.end() + 25]
+        confirmed = _eleven(re.sub(r"\D", "", m[0])) if m["eleven"] else _letter(m[0]) if m["letter"] else bool(_LABEL_NEAR.search(near))
         score = 0.5 + 0.6 * confirmed - 1.5 * bool(_OTHER.search(t[max(0, m.start() - 28) : m.start()]))
         yield Span("identity_number", m.start(), m.end(), score)
 

@@ -218,6 +218,12 @@ def test_mentions(text, want):
         ("here 12345678A take it", []),
         ("ticket 12345678Z is open, build 529.982.247-25", []),
         ("my dni is 12345678A", ["12345678A"]),
+        ("tax id is 99999 99", []),
+        ("passport no SV1234567 99 wins in a row", ["SV1234567"]),
+        ("steuer id 12 345 678 901 stimmt", ["12 345 678 901"]),
+        ("they asked for my social security, i gave 123-45-6789 to them", ["123-45-6789"]),
+        ("i gave 123-45-6789 to them", []),
+        ("my social security number, ticket 123-45-6789", []),
     ],
 )
 def test_check_sums_decide_without_a_label(text, want):
