@@ -12,7 +12,8 @@ from ..lang.lower import compile_rules
 from ..lang.values import FLOAT, INT, STR, Ty
 from ..operators import labels
 from ..runtime import table
-from .investigate import TIME, Ability, Predicate, Query, censor_columns
+from .investigate import TIME, Ability, Predicate, Query, censor_columns, results_by_id
+from .training import TIME_SQL
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +87,15 @@ _add(
 )
 _add("q_cardinality_exact", lambda s, d: investigation(s, d).cardinality("UserId", exact=True), _T + f'select count(distinct "UserId") as cardinality from t where {_SPAN}')
 _add("q_cardinality_approx", lambda s, d: investigation(s, d).cardinality("UserId"))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = whole(spark, sf_dir)
+    both = q.cardinality("UserId").crossJoin(q.cardinality("UserId", exact=True).withColumnRenamed("cardinality", "exact"))  # one row each
+    return both.select("exact", (F.abs(F.col("cardinality") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near"))
+
+
+_add("q_cardinality_near", _near, _T + 'select count(distinct "UserId") as exact, true as near from t where "__time" is not null')
 for _g, _sql in {
     "minute": "date_trunc('minute', \"__time\")", "fifteen_minute": "time_bucket(interval '15 minutes', \"__time\")", "thirty_minute": "time_bucket(interval '30 minutes', \"__time\")",
     "hour": "date_trunc('hour', \"__time\")", "day": "date_trunc('day', \"__time\")::timestamp", "week": "date_trunc('week', \"__time\")::timestamp", "month": "date_trunc('month', \"__time\")::timestamp",
@@ -174,7 +184,7 @@ def _rule(name: str, text: str, columns: list[str], sql: str | None, actions=eve
     _add(name, lambda s, d: compile_rules({"main.sml": base + text}, FUNCTIONS).evaluate(actions(s, d)).select("__action_id", *columns), sql)
 
 
-_E = """with t as (select event_id as "__action_id", user_id as u, event_type as e, value as v, try_cast(json_extract_string(props, '$.k') as bigint) as k from events) """
+_E = """with t as (select event_id as "__action_id", ts, user_id as u, event_type as e, value as v, try_cast(json_extract_string(props, '$.k') as bigint) as k from events) """
 _rule("q_feature_json", "", ["UserId", "EventType", "Value", "K", "KText", "Missing", "Gone", "__error_count"], _E + """select "__action_id", u as "UserId", e as "EventType", v as "Value", k as "K", k::varchar as "KText", null::varchar as "Missing", null::varchar as "Gone", (k is null)::int as "__error_count" from t""")
 _rule(
     "q_arithmetic",
@@ -274,8 +284,19 @@ def _has_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.evaluate(event_actions(spark, sf_dir), labels=states).select("__action_id", "IsBuyer", "NoBuyer")
 
 
-_add("q_label_state", _status)
-_add("q_has_label", _has_label)
+# runs of requests of one status; a run also ends where the state has expired, which an added one does two days after its last request
+_L = (
+    _R
+    + """, m as (select u, "__action_id" as id, ts, case when hit then 1 else 0 end as st, case when hit then case when dear and lucky then ['Dear', 'Lucky'] when dear then ['Dear'] else ['Lucky'] end else ['Small'] end as rs from h where (hit or small) and u is not null),
+  g as (select *, lag(st) over (partition by u order by ts, id) as pst, lag(ts) over (partition by u order by ts, id) as pts from m),
+  n as (select *, sum(case when pst is null or pst <> st or (st = 1 and pts + interval 172805 seconds < ts) then 1 else 0 end) over (partition by u order by ts, id rows unbounded preceding) as run from g),
+  f as (select n.u, any_value(st) as status, max(ts) as last, list_sort(list_distinct(flatten(list(rs)))) as reasons from n join (select u, max(run) as run from n group by u) z on n.u = z.u and n.run = z.run group by n.u) """
+)
+_add("q_label_state", _status, _L + "select u::varchar as entity_id, status::int as status, reasons from f")
+_add(
+    "q_has_label", _has_label,
+    _L + """select "__action_id", coalesce(status = 1 and last + interval 2 days > t.ts, false) as "IsBuyer", coalesce(status = 0 or last + interval 2 days <= t.ts, true) as "NoBuyer" from t left join f on t.u = f.u""",
+)
 _add(
     "q_bulk_label_targets",
     lambda s, d: labels.bulk_targets(investigation(s, d, "Value > 5.0").rows().select(F.col("UserId").alias("entity_id")), feature_table(s, d).where("UserId < 20").select(F.col("UserId").alias("entity_id"))),
@@ -286,7 +307,7 @@ _add("q_stored_by_id", lambda s, d: _stored(s, d), """select distinct id, action
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "action_requests").select(F.col("request_no").alias("id")).distinct()
-    return table(spark, sf_dir, "stored_results").select("id", "action_data", "stored_timestamp").distinct().join(ids, "id", "left_semi")
+    return results_by_id(table(spark, sf_dir, "stored_results").select("id", "action_data", "stored_timestamp").distinct(), ids)
 
 
 def _kafka_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,6 +317,12 @@ def _kafka_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("q_envelope_source", _kafka_actions)
+_add(
+    "q_envelope_fields",
+    lambda s, d: _kafka_actions(s, d).select("action_name", F.col("timestamp").cast("timestamp_ntz").alias("sent"), "user_id"),
+    f"""with e as (select template.data.action_name as action_name, template.data.data as d, trim(template.send_time) as s from kafka_messages), t as (select action_name, d, {TIME_SQL} as us from e)
+    select action_name, make_timestamp(us) as sent, d.user_id as user_id from t where action_name is not null and us is not null and d is not null""",
+)
 
 
 def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,4 +331,11 @@ def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies(spark, compile_rules(RULES))
 
 
-_add("q_dependencies", _dependencies)
+_EDGES = "('Small', 'Value'), ('Small', 'K'), ('Dear', 'Value'), ('Lucky', 'K'), ('Lucky', 'Value'), ('Lucky', 'UserId'), ('Broken', 'Gone'), ('Fails', 'Gone')"
+_NAMES = ", ".join(f"('{n}')" for n in ("UserId", "EventType", "ActionName", "ActionId", "Value", "K", "KText", "Missing", "Gone", "Dear", "Lucky", "Broken", "Fails", "Small"))
+_add(
+    "q_dependencies",
+    _dependencies,
+    f"""with recursive e(a, b) as (values {_EDGES}), c(a, b) as (select a, b from e union select c.a, e.b from c join e on c.b = e.a), n(feature) as (values {_NAMES})
+    select feature, coalesce((select list_sort(list(b)) from c where a = feature), []) as depends_on, coalesce((select list_sort(list(a)) from c where b = feature), []) as depended_on_by from n""",
+)

@@ -128,7 +128,7 @@ def drift_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_features": p2_features, "p2_long": p2_long, "p4_found": p4_found, "p4_sessions": p4_sessions, "p5_found": p5_found, "p5_table_action_requests": p5_table_action_requests, "p5_table_stored_results": p5_table_stored_results, "p6_found": p6_found, "p6_counts": p6_counts}
 
 _USER = "nullif(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13))), '')"
-_TIME = """case when regexp_full_match(s, '[0-9]{13}') then try_cast(s as bigint) * 1000
+TIME_SQL = """case when regexp_full_match(s, '[0-9]{13}') then try_cast(s as bigint) * 1000
   when regexp_matches(s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[tT ]') then epoch_us(try_cast(
     regexp_replace(upper(s), '([.][0-9]{6})[0-9]+', '\\1') || case when regexp_matches(upper(s), '(Z|[+-][0-9]{2}:?[0-9]{2})$') then '' else 'Z' end as timestamptz)) end"""
 _KEYS = """keyed as (
@@ -152,7 +152,7 @@ _PLACED = f"""with raw as (
   select 'kafka_messages' as dataset, id as record_id, template.data.action_name as action_name, trim(template.send_time) as s,
     case when kafka_timestamp >= timestamp '1971-01-01' then epoch_us(kafka_timestamp) end as arr, null::bigint as ev from kafka_messages
   union all select 'action_requests', request_no::varchar, action_name, null, epoch_us(received_at), epoch_us(request_timestamp) from action_requests),
-timed as (select dataset, record_id, action_name, arr, coalesce(ev, {_TIME}) as ev from raw),
+timed as (select dataset, record_id, action_name, arr, coalesce(ev, {TIME_SQL}) as ev from raw),
 placed as (select *, (ev // 3600000000) * 3600000000 as h from timed where ev is not null)"""
 
 ORACLES = {
@@ -165,12 +165,12 @@ ORACLES = {
       select user_id, kind, count(*) as n, max(ts) as latest, coalesce(sum(score::decimal(28,6)), 0)::double as total, 'event' as part from ev where user_id is not null and nullif(kind, '') is not null group by 1, 2
       union all select user_id, kind, count(*), max(ts), 0.0::double, 'action' from rq where user_id is not null and kind is not null group by 1, 2""",
     "p4_found": f"""with e as (select {_USER.format(c="template.data.data.user_id")} as user_id, trim(template.send_time) as s from kafka_messages),
-      t as (select user_id, {_TIME} as us from e), k as (select * from t where user_id is not null and us is not null),
+      t as (select user_id, {TIME_SQL} as us from e), k as (select * from t where user_id is not null and us is not null),
       g as (select *, case when us - lag(us) over (partition by user_id order by us) <= 1800000000 then 0 else 1 end as o from k),
       n as (select *, sum(o) over (partition by user_id order by us rows unbounded preceding) as no from g)
       select user_id, min(us) as session_start_us, max(us) as session_end_us from n group by user_id, no""",
     "p4_sessions": f"""with e as (select {_USER.format(c="template.data.data.user_id")} as user_id, trim(template.send_time) as s, nullif(trim(template.data.action_id), '') as action_id from kafka_messages),
-      t as (select user_id, action_id, {_TIME} as us from e), k as (select * from t where user_id is not null and us is not null),
+      t as (select user_id, action_id, {TIME_SQL} as us from e), k as (select * from t where user_id is not null and us is not null),
       g as (select *, case when us - lag(us) over (partition by user_id order by us) <= 1800000000 then 0 else 1 end as o from k),
       n as (select *, sum(o) over (partition by user_id order by us rows unbounded preceding) as no from g)
       select user_id, min(us) as session_start_us, max(us) as session_end_us, max(us) - min(us) as duration_us, count(*) as n_events, count(distinct action_id) as n_actions from n group by user_id, no""",
@@ -184,3 +184,9 @@ ORACLES = {
         count(*) filter (arr > h + 25 * 3600000000::bigint) as n_refused
       from once group by 1, 2, 3""",
 }
+
+# one column per type and measure, with the defaults of the table
+_LONG = ORACLES["p2_long"]
+ORACLES["p2_features"] = f"""with e as (pivot (select user_id, 'event_' || kind as c, n, latest, total from ({_LONG}) x where part = 'event') on c using sum(n) as n, max(latest) as latest, sum(total) as total group by user_id),
+  a as (pivot (select user_id, 'action_' || kind as c, n, latest from ({_LONG}) y where part = 'action') on c using sum(n) as n, max(latest) as latest group by user_id)
+  select user_id, coalesce(columns('^(event|action)_.*_n$'), 0)::bigint as "\\0", columns('^(event|action)_.*_latest$'), coalesce(columns('^event_.*_total$'), 0)::double as "\\0" from e full join a using (user_id)"""
