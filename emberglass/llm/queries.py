@@ -51,9 +51,20 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(table(spark, sf_dir, "documents"))
 
 
+def p10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact measure alone, of every document: the yardstick of the regression."""
+    return p10_shares(spark, sf_dir).select("doc_id", "n_words", F.round("repeated_share", 9).alias("repeated_share"))
+
+
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p7_found": p7_found, "p7_scores": p7_scores, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares, "p10_exact": p10_exact}
+# stretches of five words that were said before in the document, and the words that stand in one
+_SAID = """with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as words from documents),
+  g as (select doc_id, i, array_to_string(words[i:i + 4], ' ') as gram from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from w where len(words) >= 5) x),
+  again as (select doc_id, i from g qualify row_number() over (partition by doc_id, gram order by i) > 1),
+  covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from again) y group by doc_id),
+  shares as (select w.doc_id, coalesce(len(words), 0) as n_words, case when len(words) > 0 then coalesce(n, 0) / len(words) else 0.0 end::double as share from w left join covered c on w.doc_id = c.doc_id) """
+ORACLES: dict[str, str] = {"p10_found": _SAID + "select doc_id from shares where share >= 0.3", "p10_exact": _SAID + "select doc_id, n_words::bigint as n_words, round(share, 9) as repeated_share from shares"}
