@@ -157,6 +157,29 @@ declare("GetActionId", "engine")(lambda c: V(F.col("_action_id"), INT))
 declare("GetActionName", "engine")(lambda c: V(F.col("_action_name"), STR))
 simple("ParseInt", "engine", "s:str", "int", lambda c: F.regexp_replace(F.btrim(c.s.col, F.lit(BLANKS)), r"(?<=\d)_(?=\d)", "").try_cast("bigint"), may_fail=True)
 
+
+def batched(name: str, params: str, result: str, category: str = "batched", deterministic: bool = True) -> Callable:
+    """Registers a function of one's own that takes the calls of a whole Arrow batch at once.
+
+    It gets a pandas Series per parameter, in their order, and returns a Series as long; null for a call fails that call. A
+    function that asks another service is to say that it is not deterministic, so that it is asked once.
+    """
+
+    def wrap(run: Callable) -> Callable:
+        ty = _type(result)
+
+        def build(c) -> V:
+            udf = F.pandas_udf(lambda *xs: run(*xs), ty.spark())
+            out = (udf if deterministic else udf.asNondeterministic())(*[c.args[p].col for p in FUNCTIONS[name].params])
+            return V(out, ty, out.isNotNull())
+
+        build.__doc__ = run.__doc__
+        declare(name, category, params)(build)
+        return run
+
+    return wrap
+
+
 # ---- strings ----
 _S = "string"
 
@@ -378,7 +401,7 @@ def _label(status: int) -> Callable:
             F.lit("label").alias("kind"), F.lit(e.entity_type).alias("entity_type"), e.col.cast("string").alias("entity_id"), c.label.col.alias("name"), F.lit(status).alias("status"),
             seconds(c.args["delay_action_by"]).alias("delay"), seconds(c.args["expires_after"]).alias("expires_after"), suppressed.alias("suppressed"), F.array().cast("array<string>").alias("rules"),
         )
-        return V(col, EFFECT)
+        return V(col, EFFECT, extra={"kind": "label", "entity_type": e.entity_type, "name": c.label.const, "status": status})
 
     return build
 
@@ -396,10 +419,11 @@ def _effect(kind: str, entity_type: Column, entity_id: Column, name: Column) ->
             none.cast("double").alias("expires_after"), F.lit(False).alias("suppressed"), F.array().cast("array<string>").alias("rules"),
         ),
         EFFECT,
+        extra={"kind": kind},
     )
 
 
-declare("DeclareVerdict", "verdicts", "verdict:str")(lambda c: _effect("verdict", F.lit(None), F.lit(None), c.verdict.col))
+declare("DeclareVerdict", "verdicts", "verdict:str")(lambda c: replace(_effect("verdict", F.lit(None), F.lit(None), c.verdict.col), extra={"kind": "verdict", "name": c.verdict.const if c.verdict.is_const else None}))
 declare("BanUser", "effects", "entity:entity; comment:str")(lambda c: _effect("ban", F.lit(c.entity.entity_type), c.entity.col, c.comment.col))
 
 

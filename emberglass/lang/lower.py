@@ -8,6 +8,7 @@ Features are laid out in stages by depth, so that each is computed once and refe
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,15 @@ def fits(have: Ty, want: Ty) -> bool:
 LABELS = "map<string,struct<status:int,reasons:map<string,struct<pending:boolean,description:string,created_at:timestamp,expires_at:timestamp>>>>"
 
 
+#: Columns made of the effects of one kind: column name to kind and what an effect becomes. Others are added by ``effect_column``.
+EFFECT_COLUMNS: dict[str, tuple[str, Callable[[Column], Column]]] = {}
+
+
+def effect_column(name: str, kind: str, build: Callable[[Column], Column]) -> None:
+    """Gives evaluated actions a column of the effects of a kind (null without any), as effects of one's own functions need it."""
+    EFFECT_COLUMNS[name] = (kind, build)
+
+
 @dataclass
 class Feature:
     name: str
@@ -96,6 +106,10 @@ class Lowered:
     depends: dict[str, set[str]] = field(default_factory=dict)
     rules: dict[str, str] = field(default_factory=dict)
     lookups: dict[int, list[tuple[str, str, Column]]] = field(default_factory=dict)
+    #: Rule, kind of effect, entity type, name (of a label or verdict) and status of every effect a rule may have.
+    links: list[tuple[str, str, str | None, str | None, int | None]] = field(default_factory=list)
+    #: Of every file the files it brings in, and the names it assigns.
+    files: dict[str, tuple[list[str], list[str]]] = field(default_factory=dict)
 
     def types(self) -> dict[str, Ty]:
         """Types of the extracted features after evaluation."""
@@ -127,15 +141,14 @@ class Lowered:
         struct = "array<struct<kind:string,entity_type:string,entity_id:string,name:string,status:int,delay:double,expires_after:double,suppressed:boolean,rules:array<string>>>"
         effects = F.flatten(F.array(*[F.when(c, F.array_compact(F.array(*[e.held() for e in es]))).otherwise(F.array().cast(struct)) for c, es in self.effects])) if self.effects else F.array().cast(struct)
         df = df.withColumn("_effects", effects)
-        labels = F.transform(F.filter("_effects", lambda e: e["kind"] == "label"), lambda e: F.concat_ws("/", e["entity_type"], e["entity_id"], e["name"], e["status"].cast("string")))
-        mutations = F.transform(F.filter("_effects", lambda e: e["kind"] == "label"), lambda e: F.concat_ws("/", e["entity_type"], e["name"], e["status"].cast("string")))
-        verdicts = F.transform(F.filter("_effects", lambda e: e["kind"] == "verdict"), lambda e: e["name"])
+        of_kind = lambda kind: F.filter("_effects", lambda e: e["kind"] == kind)
+        mutations = F.transform(of_kind("label"), lambda e: F.concat_ws("/", e["entity_type"], e["name"], e["status"].cast("string")))
+        verdicts = F.transform(of_kind("verdict"), lambda e: e["name"])
         taking = F.transform(F.filter("_effects", lambda e: (e["kind"] == "label") & ~e["suppressed"] & (e["status"] == 1)), lambda e: F.concat_ws("/", e["entity_type"], e["entity_id"], e["name"]))
         some = lambda a: F.when(F.size(a) > 0, a)
         count = F.lit(0)
         for e in self.errors:
             count = count + F.coalesce(e, F.lit(False)).cast("int")
-        del labels
         return df.select(
             *[F.col(f"_keep_{k}").alias(k) for k in keep],
             *[F.col(f"v_{f.name}").alias(f.name) for f in self.features if f.keep],
@@ -146,6 +159,7 @@ class Lowered:
             some(verdicts).alias("__verdicts"),
             some(taking).alias("__entity_verdicts"),
             F.col("_effects").alias("__effects"),
+            *[some(F.transform(of_kind(kind), build)).alias(name) for name, (kind, build) in EFFECT_COLUMNS.items()],
             F.array(*self.audit).alias("__audit") if self.audit else F.lit(None).cast("string").alias("__audit"),
         )
 
@@ -200,6 +214,7 @@ class Lowering:
         self.path = "main.sml"
         self.used_locals: set[tuple[str, str]] = set()
         self.lookups: dict[int, list[tuple[str, str, Column]]] = {}
+        self.links: list[tuple[str, str, str | None, str | None, int | None]] = []
         self.looked_up: dict[tuple[str, str], tuple[str, int]] = {}
 
     # ---- files ----
@@ -307,7 +322,7 @@ class Lowering:
                 if n.startswith("_") and (p, n) not in self.used_locals:
                     raise RuleError(f"{p}:1: local {n} is never used")
         types = {f.name: f.value.entity_type for f in features if f.value.entity_type}
-        return Lowered(features, self.stages, self.effects, self.audit, self.errors, types, self.depends, self.rules, self.lookups)
+        return Lowered(features, self.stages, self.effects, self.audit, self.errors, types, self.depends, self.rules, self.lookups, self.links, {p: ([*self.files[p].imports, *[q for call in self.files[p].requires for q in self.required(p, call)]], list(self.files[p].assigns)) for p in by})
 
     # ---- names ----
     def visible(self, path: str) -> set[str]:
@@ -602,6 +617,8 @@ class Lowering:
             if x.ty.kind != "effect":
                 raise fail(self.path, e, f"then holds effects, not {x.ty}")
             made.append(replace(x, col=x.col.withField("rules", passing)))
+            told = x.extra or {}
+            self.links += [(r.extra["name"], told.get("kind"), told.get("entity_type"), told.get("name"), told.get("status")) for r in rules]
             for err in x.errors:
                 self.errors.append(err if active is None else active & err)
         self.effects.append((hit, made))

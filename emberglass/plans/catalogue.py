@@ -58,6 +58,29 @@ def dependencies(spark: SparkSession, rules: Lowered) -> DataFrame:
     return names.join(on, "feature", "left").join(by, "feature", "left").select("feature", F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("depended_on_by", none).alias("depended_on_by"))
 
 
+def rules_by_label(spark: SparkSession, rules: Lowered) -> DataFrame:
+    """``(label, entity_type, status, rule, features)``: the rules that may add (1) or remove (0) a label, and all the features they rest on."""
+    below = closure(rules)
+    rows = sorted({(name, entity, status, rule) for rule, kind, entity, name, status in rules.links if kind == "label"})
+    return spark.createDataFrame([(*r, sorted(below.get(r[3], ()))) for r in rows], "label string, entity_type string, status int, rule string, features array<string>")
+
+
+def rules_by_action(spark: SparkSession, rules: Lowered, folder: str = "actions/") -> DataFrame:
+    """``(action, rule)``: the rules that files named after an action bring in; files below the folder are named after one."""
+
+    def below(path: str) -> set[str]:
+        seen, todo = set(), [path]
+        while todo:
+            p = todo.pop()
+            if p not in seen:
+                seen.add(p)
+                todo += rules.files[p][0] if p in rules.files else []
+        return seen
+
+    rows = {(p[len(folder) :].rsplit(".", 1)[0], n) for p in rules.files if p.startswith(folder) for q in below(p) for n in rules.files.get(q, ([], []))[1] if n in rules.rules}
+    return spark.createDataFrame(sorted(rows), "action string, rule string")
+
+
 def merge_history(stored: DataFrame, now: DataFrame, at: str) -> DataFrame:
     """A dependency table that keeps its history: ``(feature, content, valid_from, valid_to)``.
 

@@ -6,6 +6,7 @@ import ast
 import base64
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -123,25 +124,67 @@ class Predicate:
         raise fail("query", a, "in takes a text in a feature, or a feature in a list")
 
     def call(self, e: ast.Call) -> Column:
-        args = {k.arg: k.value for k in e.keywords}
-        text = lambda k: self.literal(args[k]) if k in args else fail_missing(e, k)
-        if e.func.id == "RegexMatch" and isinstance(args.get("target"), ast.Name):
-            try:
-                re.compile(text("pattern"))
-            except re.error as x:
-                raise fail("query", e, f"bad pattern: {x}") from None
-            flag = "(?iu)" if "case_insensitive" in args and self.literal(args["case_insensitive"]) else ""
-            return F.col(f"`{self.name(args['target'])}`").rlike(flag + text("pattern"))
-        if e.func.id in ("DidAddLabel", "DidRemoveLabel"):
-            wanted = f"{text('entity_type')}/{text('label_name')}/{1 if e.func.id == 'DidAddLabel' else 0}"
-            return F.coalesce(F.exists("__entity_label_mutations", lambda x: x.contains(wanted)), F.lit(False))
-        if e.func.id == "DidDeclareVerdict":
-            return F.coalesce(F.array_contains("__verdicts", text("verdict")), F.lit(False))
-        raise fail("query", e, f"{e.func.id} is no query function")
-
-
-def fail_missing(e: ast.Call, name: str):
-    raise fail("query", e, f"{e.func.id} needs {name}")
+        if e.func.id not in QUERY_FUNCTIONS:
+            raise fail("query", e, f"{e.func.id} is no query function")
+        return QUERY_FUNCTIONS[e.func.id](Arguments(self, e))
+
+
+class Arguments:
+    """The arguments of one call in a query."""
+
+    def __init__(self, predicate: Predicate, call: ast.Call):
+        self.predicate, self.node = predicate, call
+        self.given = {k.arg: k.value for k in call.keywords}
+
+    def refuse(self, why: str) -> RuleError:
+        return fail("query", self.node, why)
+
+    def literal(self, name: str, default: object = ...) -> object:
+        if name not in self.given:
+            if default is ...:
+                raise self.refuse(f"{self.node.func.id} needs {name}")
+            return default
+        return self.predicate.literal(self.given[name])
+
+    def feature(self, name: str) -> Column:
+        if not isinstance(self.given.get(name), ast.Name):
+            raise self.refuse(f"{self.node.func.id} needs a feature as {name}")
+        return F.col(f"`{self.predicate.name(self.given[name])}`")
+
+
+#: What a query may call: a function from the arguments to a filter. Others are added by ``query_function``.
+QUERY_FUNCTIONS: dict[str, Callable[[Arguments], Column]] = {}
+
+
+def query_function(name: str) -> Callable:
+    def wrap(build: Callable[[Arguments], Column]) -> Callable:
+        QUERY_FUNCTIONS[name] = build
+        return build
+
+    return wrap
+
+
+@query_function("RegexMatch")
+def _regex_match(a: Arguments) -> Column:
+    target, pattern = a.feature("target"), a.literal("pattern")
+    try:
+        re.compile(pattern)
+    except re.error as x:
+        raise a.refuse(f"bad pattern: {x}") from None
+    return target.rlike(("(?iu)" if a.literal("case_insensitive", False) else "") + pattern)
+
+
+def _did_label(status: int) -> Callable[[Arguments], Column]:
+    def build(a: Arguments) -> Column:
+        wanted = f"{a.literal('entity_type')}/{a.literal('label_name')}/{status}"
+        return F.coalesce(F.exists("__entity_label_mutations", lambda x: x.contains(wanted)), F.lit(False))
+
+    return build
+
+
+query_function("DidAddLabel")(_did_label(1))
+query_function("DidRemoveLabel")(_did_label(0))
+query_function("DidDeclareVerdict")(lambda a: F.coalesce(F.array_contains("__verdicts", a.literal("verdict")), F.lit(False)))
 
 
 def validate(text: str, types: dict[str, Ty]) -> str | None:
@@ -358,6 +401,11 @@ def results_by_id(stored: DataFrame, ids: DataFrame) -> DataFrame:
     return stored.join(ids.select("id").distinct(), "id", "left_semi").orderBy(F.desc("stored_timestamp"), "id")
 
 
+def result_by_id(stored: DataFrame, id_: int) -> DataFrame:
+    """The newest stored result of one id, by a filter that reaches the scan; no row where there is none."""
+    return stored.where(F.col("id") == F.lit(id_)).orderBy(F.desc("stored_timestamp")).limit(1)
+
+
 def latency_stats(df: DataFrame, column: str) -> DataFrame:
     """Nearest-rank latency figures."""
     p = lambda q: F.expr(f"percentile_disc({q}) within group (order by {column})")

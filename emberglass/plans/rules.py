@@ -232,6 +232,13 @@ _rule(
     _D + """select "__action_id", md5(x) as "A", sha1(x) as "B", sha256(x) as "C", to_base64(encode(w)) as "E", w as "G", try_cast(replace(w, 'user_', '') as bigint) as "H" from t""",
     document_actions, _DOC,
 )
+_rule(
+    "q_strip_entity",
+    "A = StringLStrip(s=T, chars='I ')\nB = StringRStrip(s=T, chars='. ')\nC: Entity[str] = Entity(type='User', id=Who)\nD = StringClean(s=T, homoglyph=False, unicode_normalize=False, lower=True)\n",
+    list("ABCD"),
+    _D + """select "__action_id", ltrim(x, 'I ') as "A", rtrim(x, '. ') as "B", w as "C", lower(regexp_replace(x, '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) as "D" from t""",
+    document_actions, _DOC,
+)
 _rule("q_sha512", "D = HashSha512(input=T)\n", ["D"], None, document_actions, _DOC)
 _rule(
     "q_email_domains",
@@ -269,6 +276,22 @@ _add(
 _add("q_did_add_label", lambda s, d: whole_ruleset(s, d).where(Predicate({}).compile("DidAddLabel(entity_type='User', label_name='buyer') and not DidDeclareVerdict(verdict='allow')")).select("__action_id"), _R + 'select "__action_id" from h where hit and not small')
 
 
+_add("q_did_remove_label", lambda s, d: whole_ruleset(s, d).where(Predicate({}).compile("DidRemoveLabel(entity_type='User', label_name='buyer')")).select("__action_id"), _R + 'select "__action_id" from h where small')
+CHOSEN = {
+    "main.sml": "Import(rules=['models/base.sml'])\nRequire(rule=f'actions/{ActionName}.sml')\n",
+    "models/base.sml": BASE,
+    "actions/click.sml": "Import(rules=['models/base.sml'])\nClicked = Rule(when_all=[Value > 10.0], description='click')\nOften = Rule(when_all=[Value > 40.0], description='often')\nWhenRules(rules_any=[Clicked], then=[LabelAdd(entity=UserId, label='clicker', apply_if=Often), BanUser(entity=UserId, comment='much')])\n",
+    "actions/view.sml": "Import(rules=['models/base.sml'])\nSeen = Rule(when_all=[Value > 20.0], description='view')\nWhenRules(rules_any=[Seen], then=[DeclareVerdict(verdict='seen')])\n",
+}
+_add(
+    "q_required_by_name",
+    lambda s, d: compile_rules(CHOSEN).evaluate(event_actions(s, d)).select("__action_id", "Clicked", "Often", "Seen", "__verdicts", "__entity_verdicts", F.size("__effects").cast("bigint").alias("n_effects")),
+    _E
+    + """select "__action_id", case when e = 'click' then v > 10.0 end as "Clicked", case when e = 'click' then v > 40.0 end as "Often", case when e = 'view' then v > 20.0 end as "Seen", case when e = 'view' and v > 20.0 then ['seen'] end as "__verdicts",
+    case when e = 'click' and v > 40.0 then ['User/' || u || '/clicker'] end as "__entity_verdicts", case when e = 'click' and v > 10.0 then 2 when e = 'view' and v > 20.0 then 1 else 0 end::bigint as n_effects from t""",
+)
+
+
 def label_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.fold(labels.mutations_of(whole_ruleset(spark, sf_dir)))
 

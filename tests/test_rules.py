@@ -225,3 +225,33 @@ def test_labels_of_one_entity_are_joined_once(spark):
 
     rules = compile_rules({"main.sml": "U: Entity[str] = EntityJson(type='User', path='$.u')\nA = HasLabel(entity=U, label='x')\nB = HasLabel(entity=U, label='y') and A\nC = HasLabel(entity=U, label='x', status='removed')\n"})
     assert sum(map(len, rules.lookups.values())) == 1
+
+
+def test_functions_of_ones_own(spark):
+    from emberglass.functions import stdlib
+    from emberglass.lang import lower
+    from emberglass.plans import catalogue
+    from emberglass.plans.investigate import QUERY_FUNCTIONS, Predicate, query_function
+    from pyspark.sql import functions as F
+
+    @stdlib.batched("Shout", "s:str; n:int", "str")
+    def shout(s, n):
+        """In capitals, some times."""
+        return s.str.upper() * n
+
+    @query_function("IsLong")
+    def is_long(a):
+        return F.length(a.feature("target")) > a.literal("than", 3)
+
+    lower.effect_column("__bans", "ban", lambda e: F.concat_ws("/", e["entity_id"], e["name"]))
+    try:
+        text = "U: Entity[str] = EntityJson(type='User', path='$.u')\nN: int = JsonData(path='$.n')\nA = Shout(s=U, n=N)\nR = Rule(when_all=[N > 1], description='r')\nWhenRules(rules_any=[R], then=[BanUser(entity=U, comment='c'), LabelAdd(entity=U, label='x')])\n"
+        rules = lower.compile_rules({"main.sml": "Require(rule='actions/n.sml')\n", "actions/n.sml": text})
+        df = rules.evaluate(spark.createDataFrame([(1, "n", None, '{"u": "ab", "n": 2}'), (2, "n", None, '{"u": "c", "n": 1}'), (3, "n", None, "{}")], "action_id long, action_name string, timestamp timestamp, data string"))
+        got = {r["__action_id"]: r for r in df.collect()}
+        assert [got[i]["A"] for i in (1, 2, 3)] == ["ABAB", "C", None] and [got[i]["__bans"] for i in (1, 2)] == [["ab/c"], None]
+        assert [r["__action_id"] for r in df.where(Predicate(rules.types()).compile("IsLong(target=A)")).collect()] == [1]
+        assert [tuple(r) for r in catalogue.rules_by_label(spark, rules).collect()] == [("x", "User", 1, "R", ["N"])]
+        assert [tuple(r) for r in catalogue.rules_by_action(spark, rules).collect()] == [("n", "R")]
+    finally:
+        del stdlib.FUNCTIONS["Shout"], QUERY_FUNCTIONS["IsLong"], lower.EFFECT_COLUMNS["__bans"]
