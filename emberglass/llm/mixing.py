@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
@@ -65,17 +65,17 @@ TOPICS = {
 MARGINALS = ("lang", "topic")
 
 
-def topic(text: Column) -> Column:
+def topic(text: str | None) -> str:
     """The topic whose words stand in the text most often, in the order of ``TOPICS`` where several do; ``other`` without any."""
-    low = F.lower(text)
-    often = [sum((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / F.lit(len(w)) for w in words) for words in TOPICS.values()]
-    most = F.greatest(*often)
-    return F.coalesce(F.when(most > 0, F.coalesce(*[F.when(n == most, F.lit(t)) for t, n in zip(TOPICS, often, strict=True)])), F.lit("other"))
+    low = (text or "").lower()
+    often = {t: sum(map(low.count, words)) for t, words in TOPICS.items()}
+    best = max(often, key=often.get)
+    return best if often[best] else "other"
 
 
 def sized(documents: DataFrame, vocab_path: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, source, lang, topic)``, written once to the checkpoint folder, as the fit and the draw both read it."""
-    return cut(token_counts(documents, vocab_path, source=F.col("source"), lang=F.col("lang"), topic=topic(F.col("text"))))
+    return cut(token_counts(documents, vocab_path, ("source", "lang"), {"topic": topic}))
 
 
 def plan(sizes: DataFrame, targets: DataFrame, marginals: tuple[str, ...] = MARGINALS, budget: int | None = None) -> tuple[list[tuple], list[tuple]]:
